@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radweave.llm import neardup
+from radweave.llm import neardup, spans
 from radweave.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,23 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.membership(_links(spark, folder)).withColumnRenamed("id", "rec_id")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal runs of at least 300 characters that occur verbatim in another document."""
+    return spans.shared_spans(_documents(spark, folder), 300).withColumnRenamed("id", "doc_id")
+
+
+def p9_share(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: how much of it is shared elsewhere."""
+    docs = _documents(spark, folder)
+    return spans.shared_share(docs, spans.shared_spans(docs, 300)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p5_groups": p5_groups}
+    return {"p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_share": p9_share}
 
 
 def oracle_sql() -> dict[str, str]:
