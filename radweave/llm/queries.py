@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radweave.llm import neardup, spans
+from radweave.llm import leakage, neardup, overlap, spans
 from radweave.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,53 @@ def p9_share(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_share(docs, spans.shared_spans(docs, 300)).withColumnRenamed("id", "doc_id")
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "eval_passages").select("item_id", F.col("passage_text").alias("text"))
+    return leakage.leaks(_documents(spark, folder), items).withColumnRenamed("id", "doc_id")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents holding at least 10 consecutive words of an item's passage."""
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Per item: in how many documents it leaked and how many of its 10-word windows at most stood in one."""
+    found = _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_windows").alias("most_windows"))
+    items = table(spark, folder, "eval_passages").select("item_id", "item_set")
+    return items.join(found, "item_id", "left").select("item_id", "item_set", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_windows", F.lit(0)).alias("most_windows"))
+
+
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "training_reports_augmented").select(F.col("rec_id").alias("id"), F.col("report_text").alias("text"), "split")
+    return overlap.text_overlaps(rows.filter("split = 'train'"), rows.filter("split in ('val', 'test')"), threshold=0.75, min_words=20)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a train row and a val or test row whose share of 3-word sequences is 0.75 or more."""
+    return _overlaps(spark, folder).select(F.least("train_id", "eval_id").alias("rec_id_a"), F.greatest("train_id", "eval_id").alias("rec_id_b"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per split and origin of the evaluation record and origin of the training record: pairs, records hit, mean share and coverage."""
+    rows = table(spark, folder, "training_reports_augmented")
+    kind = F.when(F.col("is_synthetic"), "synthetic").when(~F.col("is_synthetic"), "real").when(F.col("study_id").rlike("^(synth|hardneg)_"), "synthetic").otherwise("unknown")
+    info = rows.select("rec_id", "split", kind.alias("origin"))
+    pairs = _overlaps(spark, folder)
+    named = pairs.join(info.select(F.col("rec_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("origin").alias("eval_origin")), "eval_id").join(
+        info.select(F.col("rec_id").alias("train_id"), F.col("origin").alias("train_origin")), "train_id"
+    )
+    return named.groupBy("eval_split", "eval_origin", "train_origin").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.countDistinct("eval_id").alias("n_eval"),
+        F.countDistinct("train_id").alias("n_train"),
+        F.round(F.avg("share"), 4).alias("mean_share"),
+        F.round(F.avg("coverage"), 4).alias("mean_coverage"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_share": p9_share}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p7_found": p7_found, "p7_items": p7_items, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_share": p9_share}
 
 
 def oracle_sql() -> dict[str, str]:
