@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radweave.llm import leakage, neardup, overlap, spans
+from radweave.llm import canonical, encoding, leakage, neardup, overlap, spans
 from radweave.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,8 +96,44 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_DAMAGED = "id long, restored boolean, original string"
+
+
+def _damaged(spark: SparkSession, folder: str) -> DataFrame:
+    return _reports(spark, folder, "ensemble_predictions", "disagreement_log").mapInArrow(encoding.inspect_batches, _DAMAGED)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose text shows characters read in a wrong encoding."""
+    return _damaged(spark, folder).select(F.col("id").alias("rec_id"))
+
+
+def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The same records with the cheapest reachable text, and whether nothing unreadable remains in it."""
+    return _damaged(spark, folder).withColumnRenamed("id", "rec_id")
+
+
+def _deviating(spark: SparkSession, folder: str) -> DataFrame:
+    kind = "id long, kinds array<string>, canonical string"
+    one = _reports(spark, folder, "ensemble_predictions").mapInArrow(canonical.canonical_batches(True), kind)
+    return one.unionByName(_reports(spark, folder, "annotated_reports").mapInArrow(canonical.canonical_batches(False), kind))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records written with other characters than the rest."""
+    return _deviating(spark, folder).select(F.col("id").alias("rec_id"))
+
+
+def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """The same records in the one consistent form, with the kinds of deviation."""
+    return _deviating(spark, folder).select(F.col("id").alias("rec_id"), F.array_join("kinds", ",").alias("kinds"), "canonical")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p7_found": p7_found, "p7_items": p7_items, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_share": p9_share}
+    return {
+        "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_canonical": p4_canonical,
+        "p1_found": p1_found, "p1_report": p1_report, "p7_found": p7_found, "p7_items": p7_items, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_share": p9_share,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
