@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radweave.llm import canonical, encoding, leakage, neardup, overlap, spans
+from radweave.llm import canonical, encoding, leakage, mixing, neardup, overlap, spans
 from radweave.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,10 +129,25 @@ def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return _deviating(spark, folder).select(F.col("id").alias("rec_id"), F.array_join("kinds", ",").alias("kinds"), "canonical")
 
 
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    return mixing.Mixture(docs, table(spark, folder, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Chosen documents with their tokens, repeats and first place in the interleaved mixture."""
+    return _mixture(spark, folder).rows().withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, repeats, tokens and actual share per source."""
+    return _mixture(spark, folder).report()
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_canonical": p4_canonical,
-        "p1_found": p1_found, "p1_report": p1_report, "p7_found": p7_found, "p7_items": p7_items, "p5_found": p5_found, "p5_groups": p5_groups, "p9_found": p9_found, "p9_share": p9_share,
+        "p1_found": p1_found, "p1_report": p1_report, "p7_found": p7_found, "p7_items": p7_items, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_share": p9_share,
     }
 
 
