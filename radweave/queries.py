@@ -5,12 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from radweave.operators import packed
+from radweave.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _unpacked(spark: SparkSession, folder: str, least: int) -> DataFrame:
+    names = table(spark, folder, "label_hierarchy").select("label")
+    gold = packed.unpack(table(spark, folder, "annotated_reports"), "rec_id", ["gold_labels"], names, least)
+    return gold.unionByName(packed.unpack(table(spark, folder, "disagreement_log"), "rec_id", ["final_labels", "rb_labels", "bert_labels"], names, least))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per value of the label fields that hold two or more."""
+    return _unpacked(spark, folder, 2)
+
+
+def p2_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Per field and value in any case: rows it occurs in and its earliest and latest place."""
+    rows = _unpacked(spark, folder, 1)
+    return rows.groupBy("field_name", F.lower("val").alias("val")).agg(F.countDistinct("rec_id").alias("n_records"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {"p2_found": p2_found, "p2_values": p2_values}
 
 
 def oracle_sql() -> dict[str, str]:
