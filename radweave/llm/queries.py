@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radweave.llm import canonical, encoding, leakage, mixing, neardup, overlap, spans
+from radweave.llm import canonical, encoding, leakage, mixing, neardup, overlap, pii, spans
 from radweave.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,10 +144,25 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).report()
 
 
+def _details(spark: SparkSession, folder: str, with_text: bool, kind: str) -> DataFrame:
+    model = spark.sparkContext.broadcast(pii.train())
+    return _reports(spark, folder, "ensemble_predictions", "annotated_reports").mapInArrow(pii.details(model, with_text), kind).withColumnRenamed("id", "rec_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every personal detail: record, kind and position of its first character."""
+    return _details(spark, folder, False, "id long, kind string, start_at int, end_at int").select("rec_id", "kind", "start_at")
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with personal details, with a typed placeholder in place of each."""
+    return _details(spark, folder, True, "id long, n_details int, redacted string")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_canonical": p4_canonical,
-        "p1_found": p1_found, "p1_report": p1_report, "p7_found": p7_found, "p7_items": p7_items, "p5_found": p5_found, "p5_groups": p5_groups, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_share": p9_share,
+        "p1_found": p1_found, "p1_report": p1_report, "p7_found": p7_found, "p7_items": p7_items, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_share": p9_share,
     }
 
 
