@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radweave.operators import packed
+from radweave.plans import labelling
 from radweave.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +31,23 @@ def p2_values(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("field_name", F.lower("val").alias("val")).agg(F.countDistinct("rec_id").alias("n_records"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
+_PLANS = (labelling,)
+
+
+def entry(spark: SparkSession, folder: str) -> DataFrame:
+    """Flagship query: rule labels of every report."""
+    return labelling.rule_labels(spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_values": p2_values}
+    found: dict[str, Query] = {"p2_found": p2_found, "p2_values": p2_values}
+    for plan in _PLANS:
+        found |= plan.queries()
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found: dict[str, str] = {}
+    for plan in _PLANS:
+        found |= plan.oracle_sql()
+    return found
