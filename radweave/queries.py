@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radweave.operators import packed
-from radweave.plans import analytics, labelling
+from radweave.plans import analytics, labelling, preparation
 from radweave.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,7 @@ def p2_values(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("field_name", F.lower("val").alias("val")).agg(F.countDistinct("rec_id").alias("n_records"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-_PLANS = (labelling, analytics)
+_PLANS = (labelling, analytics, preparation)
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
