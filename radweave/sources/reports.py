@@ -21,7 +21,7 @@ def scan_reports(spark: SparkSession, folder: str, keep_empty: bool = False) ->
     if files.select("path").isEmpty():
         raise FileNotFoundError(f"no .txt files in {folder}")
     name = F.regexp_extract("path", r"([^/]+)\.txt$", 1)
-    df = files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("study_id"), strip(F.decode("content", "UTF-8")).alias("report_text"))
+    df = files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("study_id"), strip(F.make_valid_utf8(F.col("content").cast("string"))).alias("report_text"))
     return df if keep_empty else df.filter("report_text <> ''")
 
 
