@@ -42,12 +42,12 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: str =
     return marked.orderBy("extra", "draw", key).limit(n).drop("extra", "draw", "rank", "quota")
 
 
-def positions(df: DataFrame, key: str, name: str = "position") -> DataFrame:
-    """Adds the 1-based place in key order without a global window: range partitions, their counts, then places inside."""
-    ranged = settle(df.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()), "ranged")
+def positions(df: DataFrame, *keys: str, name: str = "position") -> DataFrame:
+    """Adds the 1-based place in the order of the keys without a global window: range partitions, their counts, then places inside."""
+    ranged = settle(df.repartitionByRange(*[F.col(k) for k in keys]).withColumn("__part", F.spark_partition_id()), "ranged")
     count = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     base = count.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__base"))  # a row per partition
-    inside = F.row_number().over(W.partitionBy("__part").orderBy(key))
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(*keys))
     return ranged.withColumn("__at", inside).join(F.broadcast(base), "__part").withColumn(name, (F.col("__base") + F.col("__at")).cast("long")).drop("__part", "__at", "__base")
 
 

@@ -116,7 +116,7 @@ def prefill_links(spark: SparkSession, folder: str) -> DataFrame:
 def reorganised_studies(spark: SparkSession, folder: str) -> DataFrame:
     """New ids by position over all sorted folders, then only studies with all three files."""
     df = table(spark, folder, "study_metadata").filter("original_folder is not null")
-    df = sampling.positions(df, "original_folder")
+    df = sampling.positions(df, "original_folder", "study_id")
     full = df.filter("image_path is not null and report_path is not null and array_path is not null")
     return full.select("original_folder", F.format_string("anon_study_%05d", "position").alias("new_id"), "position")
 
@@ -316,7 +316,7 @@ def oracle_sql() -> dict[str, str]:
         "stratified_sample": f"""WITH b AS (SELECT rec_id, coalesce({_S('review_priority')}, 'none') AS priority FROM annotated_reports), q AS (SELECT priority, least(round_even(count(*) / (SELECT count(*) FROM b)::DOUBLE * 100, 0), count(*)) AS quota FROM b GROUP BY priority),
             r AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY {draw('rec_id')}, rec_id) AS k FROM b), m AS (SELECT r.rec_id, r.priority, k > quota AS extra FROM r JOIN q USING (priority)) SELECT rec_id, priority FROM m ORDER BY extra, {draw('rec_id')}, rec_id LIMIT 100""",
         "prefill_links": "SELECT study_id, 'https://forms.example/qc?id=' || replace(url_encode(coalesce(study_id, '')), '%20', '+') || '&image=' || replace(url_encode(coalesce(image_path, '')), '%20', '+') AS link FROM study_metadata",
-        "reorganised_studies": "SELECT original_folder, printf('anon_study_%05d', position) AS new_id, position FROM (SELECT *, row_number() OVER (ORDER BY original_folder) AS position FROM study_metadata WHERE original_folder IS NOT NULL) WHERE image_path IS NOT NULL AND report_path IS NOT NULL AND array_path IS NOT NULL",
+        "reorganised_studies": "SELECT original_folder, printf('anon_study_%05d', position) AS new_id, position FROM (SELECT *, row_number() OVER (ORDER BY original_folder, study_id) AS position FROM study_metadata WHERE original_folder IS NOT NULL) WHERE image_path IS NOT NULL AND report_path IS NOT NULL AND array_path IS NOT NULL",
         "excluded_studies": f"WITH l AS (SELECT study_id FROM study_metadata WHERE {flagged} UNION SELECT study_id FROM disagreement_log) SELECT l.study_id, CASE WHEN m.study_id IS NULL THEN 'unknown' ELSE 'excluded' END AS outcome FROM l LEFT JOIN study_metadata m ON m.study_id = l.study_id",
         "kept_studies": f"SELECT study_id, qc_flag FROM study_metadata WHERE NOT ({flagged})",
         "synthetic_reports": f"WITH {_synthetic()} SELECT * FROM syn",
