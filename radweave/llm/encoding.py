@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 
-MARGIN = 2.0
+MARGIN = 1.9
 ISLAND = re.compile(r"[^\x00-\x7f]+")
 ESCAPED = re.compile(r"&(?:#[0-9]{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8}[0-9]{0,2});|\\u[0-9a-fA-F]{4}|\\x[c-fC-F][0-9a-fA-F](?:\\x[89abAB][0-9a-fA-F])+|%[c-fC-F][0-9a-fA-F](?:%[89abAB][0-9a-fA-F])+")
 
@@ -109,6 +109,8 @@ def char_cost(c: str, left: str, right: str) -> float:
             return 3.0
         near = [x for x in (left, right) if x.isalpha()]
         own = o < 0x400
+        if left.isdigit() and right and not right.isalpha() or right and right in "°±×÷≤≥":
+            return 3.0
         if any(x.isalpha() and (ord(x) < 0x370 or (0x370 <= ord(x) < 0x400) != own) for x in near):
             return 2.0
         odd = 1.0 if 0x402 <= o < 0x410 and o not in (0x404, 0x406, 0x407) or 0x452 <= o <= 0x45F and o not in (0x454, 0x456, 0x457) or o >= 0x490 else 0.0
@@ -182,10 +184,10 @@ def repair_island(text: str, left: str, right: str) -> tuple[str, float, float]:
         steps = [_utf8_step(node, c) for c in MISREAD]
         if depth == 0:
             steps += [_swap_step(node, a, b) for a, b in SWAPPED]
-        for nxt in steps:
+        for rank, nxt in enumerate(steps):
             if nxt not in visited:
                 visited.add(nxt)
-                heapq.heappush(queue, (cost_of(nxt, left, right), depth + 1, nxt))
+                heapq.heappush(queue, (cost_of(nxt, left, right) + 0.001 * rank, depth + 1, nxt))  # commoner code pages first
     return best, least, start
 
 

@@ -6,7 +6,7 @@ all evaluation texts) are kept: a text whose share with it reaches the
 threshold holds at least ``floor`` of them, whichever they are.  The passages lie
 in shards of ``shard_records`` whole evaluation texts in the shared folder; every
 task builds the Aho-Corasick automaton of one shard after another and scans all
-its training texts with it.  Pairs with ``floor`` hits are verified on the exact
+its training texts with it.  Pairs with ``floor`` hits (fewer for texts of few passages) are verified on the exact
 passage sets; the matched intervals, merged, give the coverage of the evaluation
 record.
 
@@ -59,15 +59,17 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(out, pa.string())], names=["id", "n", "passage"])
 
 
-def _scan(path: str, shards: int, floor: int, held: int):
+def _scan(path: str, shards: int, held: int):
     """(id, norm) of training texts to candidate pairs (t, e); reads the shards' passages from ``path``."""
 
     def load(k: int):
         fs, root = pafs.FileSystem.from_uri(path)
         if fs.get_file_info(f"{root}/shard={k}").type == pafs.FileType.NotFound:
             return None
-        t = pads.dataset(f"{root}/shard={k}", filesystem=fs, format="parquet").to_table(columns=["id", "passage"])
-        passage, number = t["passage"].combine_chunks().dictionary_encode(), t["id"].to_numpy()
+        t = pads.dataset(f"{root}/shard={k}", filesystem=fs, format="parquet").to_table(columns=["id", "need", "passage"])
+        passage = t["passage"].combine_chunks().dictionary_encode()
+        ids, where, number = np.unique(t["id"].to_numpy(), return_index=True, return_inverse=True)
+        need = t["need"].to_numpy()[where]
         code = passage.indices.to_numpy()
         order = np.argsort(code, kind="stable")
         first = np.searchsorted(code[order], np.arange(len(passage.dictionary) + 1))
@@ -75,26 +77,26 @@ def _scan(path: str, shards: int, floor: int, held: int):
         for i, p in enumerate(passage.dictionary.to_pylist()):
             automaton.add_word(p, i)
         automaton.make_automaton()
-        return automaton, first, number[order]
+        return automaton, first, number[order], ids, need
 
     def block(ids: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
         for k in range(shards):
             found = load(k)
             if found is None:
                 continue
-            automaton, first, number = found
+            automaton, first, number, known, need = found
             left, right = [], []
             for i, text in zip(ids, texts):
                 hit = {v for _, v in automaton.iter(f" {text} ")}
-                if len(hit) < floor:
+                if not hit:
                     continue
                 hits = np.fromiter(hit, np.int64, len(hit))
                 size = first[hits + 1] - first[hits]
                 at = np.repeat(first[hits] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 who, times = np.unique(number[at], return_counts=True)
-                who = who[times >= floor]
+                who = who[times >= need[who]]
                 left += [i] * len(who)
-                right.append(who)
+                right.append(known[who])
                 if len(left) > 100_000:
                     yield _pair_batch(left, right)
                     left, right = [], []
@@ -166,17 +168,18 @@ def text_overlaps(
     shards = max(1, -(-records // shard_records))
     passages = settle(e_single.mapInArrow(_passages, "id long, n int, passage string"), "passages")
     common = passages.groupBy("passage").agg(F.count(F.lit(1)).alias("df"))
-    keep = F.expr(f"n - ceil({threshold}D * n - 1e-9) + least({floor}, ceil({threshold}D * n - 1e-9))")
+    need = F.expr(f"cast(least({floor}, ceil({threshold}D * n - 1e-9)) as int)")
+    keep = F.expr(f"n - ceil({threshold}D * n - 1e-9)") + need
     chosen = (
         passages.join(common, "passage")
         .groupBy("id", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "passage"))).alias("s"))
-        .select("id", F.explode(F.slice("s", F.lit(1), keep.cast("int"))).alias("p"))
-        .select("id", "p.passage", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+        .select("id", need.alias("need"), F.explode(F.slice("s", F.lit(1), keep.cast("int"))).alias("p"))
+        .select("id", "need", "p.passage", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
     )
     path = new_path(train.sparkSession, "shards")
     chosen.repartition("shard").write.partitionBy("shard").parquet(path)
-    pairs = settle(t_single.mapInArrow(_scan(path, shards, floor, held), "t long, e long"), "pairs")
+    pairs = settle(t_single.mapInArrow(_scan(path, shards, held), "t long, e long"), "pairs")
     left = t_single.select(F.col("id").alias("t"), F.col("norm").alias("x"))
     right = e_single.select(F.col("id").alias("e"), F.col("norm").alias("y"))
     joined = pairs.join(left.hint("shuffle_hash"), "t").join(right.hint("shuffle_hash"), "e").select("t", "e", "x", "y")
