@@ -8,12 +8,14 @@ row per ``length/4`` characters is shuffled.
 
 1. ``_runs``: per text, the stretches of consecutive windows with one minimiser.
 2. Minimisers of at least two records survive; the texts of only those records are
-   read again and give each surviving stretch its characters' digest and context.
+   read again and give each surviving stretch its characters (its context).
 3. Stretches with equal contexts in two records are shared as a whole
-   (pre-aggregated by digest, so copies never gather).  Of what remains, one
-   representative per context is compared window by window: small minimiser
-   groups inside one task, groups above ``crowd`` by a distributed aggregation over
-   window hashes.  Both ways compare everything.
+   (pre-aggregated by digest, so copies never gather).  One representative of every
+   other context goes to the reference shard of its minimiser: a suffix automaton
+   of the shard's contexts, through which each of them streams.  The matching
+   statistics against other records give the maximal spans.  A shard of more than
+   ``crowd`` contexts is not built in one task: its windows are compared by a
+   distributed aggregation over window hashes, with the same result.
 4. Shared windows become maximal character runs per record.
 """
 
@@ -28,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from radweave.llm import words
+from radweave.llm.automaton import SuffixAutomaton
 from radweave.scratch import settle
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -122,33 +125,16 @@ def _window_hashes(contexts: list[str], counts: np.ndarray, length: int) -> np.n
     return words.range_hash(points, at, at + length)
 
 
-def _islands(hit: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, first, last + 1) of maximal runs of hits inside each owner."""
-    edge = np.r_[True, owner[1:] != owner[:-1]]
-    begin = np.flatnonzero(hit & (edge | np.r_[True, ~hit[:-1]]))
-    end = np.flatnonzero(hit & (np.r_[edge[1:], True] | np.r_[~hit[1:], True]))
-    return owner[begin], offset[begin], offset[end] + 1
-
-
 def _compare(length: int):
-    """Rows (low, id, pos, n, context), whole low groups sorted by low: runs of windows found in two ids of a group."""
-
-    def settle_group(col: list[list]) -> pa.RecordBatch:
-        low, n = np.array(col[0], np.int64), np.array(col[3], np.int64)
-        h = _window_hashes(col[4], n, length)
-        owner = np.repeat(np.arange(len(n)), n)
-        offset = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        h ^= words.mix(low.view(np.uint64))[owner]
-        ids = np.array(col[1], np.int64)
-        order = np.argsort(h, kind="stable")
-        hs, who = h[order], ids[owner[order]]
-        begin = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
-        several = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
-        hit = np.zeros(len(h), bool)
-        hit[order] = np.repeat(several, np.diff(np.r_[begin, len(hs)]))
-        o, a, b = _islands(hit, owner, offset)
-        pos = np.array(col[2], np.int64)
-        return _interval_batch(low[o], np.array(col[5], np.int64)[o], a, b)
+    """Rows (low, id, last, n, context, digest) sorted by low: per low one suffix automaton, through which its contexts stream."""
+
+    def shard(col: list[list]) -> Iterator[tuple[int, int, int, int]]:
+        owners = list(zip(col[1], col[2]))
+        automaton = SuffixAutomaton(col[4], owners)
+        for (first, last), context, digest in zip(owners, col[4], col[5]):
+            if first == last:  # else shared as a whole already
+                for a, b in automaton.spans(context, first, length):
+                    yield col[0][0], digest, a, b - length + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in range(6)]
@@ -158,30 +144,31 @@ def _compare(length: int):
             cut = len(held[0])
             while cut and held[0][cut - 1] == held[0][-1]:
                 cut -= 1
-            if cut > 2_000:
-                for lo, hi in _whole_groups(held[0], cut):
-                    yield settle_group([c[lo:hi] for c in held])
+            if cut:
+                yield _shared(shard, held, cut)
                 held = [c[cut:] for c in held]
-        for lo, hi in _whole_groups(held[0], len(held[0])):
-            yield settle_group([c[lo:hi] for c in held])
+        if held[0]:
+            yield _shared(shard, held, len(held[0]))
 
     return run
 
 
-def _whole_groups(keys: list, stop: int, size: int = 2_000) -> Iterator[tuple[int, int]]:
+def _shared(shard, held: list[list], stop: int) -> pa.RecordBatch:
+    rows = [r for lo, hi in _whole_groups(held[0], stop) for r in shard([c[lo:hi] for c in held])]
+    low, digest, a, b = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(digest, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["low", "digest", "a", "b"])
+
+
+def _whole_groups(keys: list, stop: int) -> Iterator[tuple[int, int]]:
     lo = 0
     while lo < stop:
-        hi = min(stop, lo + size)
-        while hi < stop and keys[hi] == keys[hi - 1]:
+        hi = lo + 1
+        while hi < stop and keys[hi] == keys[lo]:
             hi += 1
         yield lo, hi
         lo = hi
 
 
-def _interval_batch(low: np.ndarray, digest: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(digest, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["low", "digest", "a", "b"])
-
-
 def _explode_windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,13 +179,13 @@ def _explode_windows(length: int):
             h = _window_hashes(col[4], n, length)
             owner = np.repeat(np.arange(len(n)), n)
             offset = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            pick = [np.array(col[k], np.int64)[owner] for k in (0, 1, 5)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(p) for p in pick), pa.array(offset.astype(np.int32)), pa.array(h.view(np.int64))], names=["low", "id", "digest", "at", "h"])
+            pick = [np.array(col[k], np.int64)[owner] for k in (0, 1, 2, 5)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(p) for p in pick), pa.array(offset.astype(np.int32)), pa.array(h.view(np.int64))], names=["low", "id", "last", "digest", "at", "h"])
 
     return run
 
 
-def shared_spans(texts: DataFrame, length: int = 300, crowd: int = 20_000) -> DataFrame:
+def shared_spans(texts: DataFrame, length: int = 300, crowd: int = 500) -> DataFrame:
     """Maximal shared runs (id, start_at, end_at) of ``texts`` (columns id bigint, text string).
 
     Positions count code points, ``end_at`` is exclusive.  Null, empty and short texts
@@ -217,20 +204,20 @@ def shared_spans(texts: DataFrame, length: int = 300, crowd: int = 20_000) -> Da
     stretch = read_again.mapInArrow(_contexts(length), "low long, id long, pos int, n int, context string")
     stretch = settle(stretch.withColumn("digest", F.xxhash64("low", "context", F.md5("context"))), "stretches")
 
-    per_context = stretch.groupBy("low", "digest").agg(F.min("id").alias("id"), F.max("id").alias("q"), F.min("n").alias("n"))
+    per_context = stretch.groupBy("low", "digest").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min("n").alias("n"))
     whole = settle(per_context, "contexts")
     several = whole.groupBy("low").agg(F.count(F.lit(1)).alias("contexts"))
     rest = whole.join(several.filter("contexts > 1").hint("shuffle_hash"), "low")
     # A context found in two records needs no comparison of its own, but others may match parts of it.
-    sample = stretch.join(rest.select("low", "digest", "id", "contexts").hint("shuffle_hash"), ["low", "digest", "id"])
-    sample = sample.dropDuplicates(["low", "digest"]).select("low", "id", "pos", "n", "context", "digest", "contexts")
+    sample = stretch.join(rest.select("low", "digest", "id", "last", "contexts").hint("shuffle_hash"), ["low", "digest", "id"])
+    sample = sample.dropDuplicates(["low", "digest"]).select("low", "id", "last", "n", "context", "digest", "contexts")
     sample = settle(sample, "samples")
     small = sample.filter(F.col("contexts") <= crowd).drop("contexts").repartition("low").sortWithinPartitions("low")
     parts = small.mapInArrow(_compare(length), "low long, digest long, a int, b int")
-    big = sample.filter(F.col("contexts") > crowd).drop("contexts").mapInArrow(_explode_windows(length), "low long, id long, digest long, at int, h long")
-    hot = big.groupBy("low", "h").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p <> q").select("low", "h")
+    big = sample.filter(F.col("contexts") > crowd).drop("contexts").mapInArrow(_explode_windows(length), "low long, id long, last long, digest long, at int, h long")
+    hot = big.groupBy("low", "h").agg(F.min("id").alias("p"), F.max("last").alias("q")).filter("p <> q").select("low", "h")
     crowded = big.join(hot, ["low", "h"], "left_semi").select("low", "digest", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    full = whole.filter("id <> q").select("low", "digest", F.lit(0).alias("a"), F.col("n").alias("b"))
+    full = whole.filter("id <> last").select("low", "digest", F.lit(0).alias("a"), F.col("n").alias("b"))
     hits = full.unionByName(parts).unionByName(crowded)
     span = stretch.select("low", "digest", "id", "pos").join(hits.hint("shuffle_hash"), ["low", "digest"])
     span = span.select("id", (F.col("pos") + F.col("a")).alias("start_at"), (F.col("pos") + F.col("b") - 1 + length).alias("end_at"))
