@@ -153,7 +153,7 @@ def _verify(threshold: float):
 
 
 def text_overlaps(
-    train: DataFrame, evaluation: DataFrame, threshold: float = 0.75, min_words: int = 20, floor: int = 4, shard_records: int = 5_000, held: int = 32_000_000
+    train: DataFrame, evaluation: DataFrame, threshold: float = 0.75, min_words: int = 20, floor: int = 12, shard_records: int = 5_000, held: int = 32_000_000
 ) -> DataFrame:
     """Pairs (train_id, eval_id, share, coverage) of two tables (id bigint, text string) with share >= threshold.
 
