@@ -264,6 +264,8 @@ class Decoder:
                 while u < len(p) and p[u] == 2 * k + 2:
                     u += 1
                 a, z = int(begin[w]) + t, int(begin[w]) + u - 1
+                while KINDS[k] != "phone" and a < z and not chr(tokens.points[tokens.start[a]]).isalnum():
+                    a += 1  # a sign does not begin such a detail
                 text = int(tokens.owner[a])
                 base = int(tokens.first[text])
                 found[text].append((int(tokens.start[a]) - base, int(tokens.end[z]) - base, KINDS[k]))

@@ -21,6 +21,7 @@ Patient: <N>.
 Patient <N> was seen on the ward.
 Patient name: <N>, aged 44.
 Pt <N> of <A>.
+Pt <N> of <A>.
 Pt <N> of <A>
 Pt. <N> came with a cough.
 Name - <N>, ID no. <I>
@@ -40,6 +41,7 @@ Dr <N> / Consultant Radiologist
 <N> / Consultant Radiologist
 <N> / Consultant Radiologist.
 Signed <N>
+Signed <N>
 Signed <N>.
 Signed: <N>
 Signed by Dr <N>.
@@ -64,6 +66,7 @@ Her home is at <A>.
 Address: <A>
 Address: <A>.
 Next of kin <N>, <A>, <P>.
+Next of kin <N>, <A>, <P>.
 Next of kin <N>, <A>, <P>
 Next of kin: <N>, <P>.
 Next of kin <N>, <P>
@@ -109,6 +112,7 @@ NIN <I>.
 NIN: <I>
 National ID <I>.
 MRN: <I>
+MRN: <I>
 MRN: <I>.
 MRN <I>
 Passport <I> shown at the desk.
@@ -310,7 +314,7 @@ class Fillers:
 
     def name(self) -> str:
         f, s, k = self.first(), self.last(), self.r.random()
-        full = f"{f} {s}" if k < 0.36 else f"{f} {self.r.choice('ABEJKMOT')}. {s}" if k < 0.5 else f"{f[0]}. {s}" if k < 0.66 else s if k < 0.79 else f if k < 0.81 else f"{s.upper()}, {f}" if k < 0.92 else f"{s}, {f}"
+        full = f"{f} {s}" if k < 0.34 else f"{f} {self.r.choice('ABEJKMOT')}. {s}" if k < 0.47 else f"{f[0]}. {s}" if k < 0.62 else s if k < 0.79 else f if k < 0.81 else f"{s.upper()}, {f}" if k < 0.92 else f"{s}, {f}"
         k = self.r.random()
         return full.upper() if k < 0.14 else full.lower() if k < 0.26 else full
 
@@ -350,7 +354,7 @@ class Fillers:
         return r.choice(
             [
                 f"NH-{self.digits(4)}-{self.digits(2)}-{r.choice(up)}", f"HN/{self.digits(2)}/{self.digits(5)}", f"PX{self.digits(7)}", f"{r.choice(up)}{self.digits(6)}{r.choice(up)}",
-                self.digits(8), self.digits(11), f"{self.digits(4)} {self.digits(4)} {self.digits(3)}", f"{self.digits(3)}-{self.digits(4)}-{self.digits(4)}",
+                self.digits(8), self.digits(11), "0" + self.digits(10), "0" + self.digits(7), f"{self.digits(4)} {self.digits(4)} {self.digits(3)}", f"{self.digits(3)}-{self.digits(4)}-{self.digits(4)}",
                 f"{r.choice(up)}{r.choice(up)}{self.digits(6)}", f"{r.choice(up)}{r.choice(up)}-{self.digits(4)}-{self.digits(3)}",
             ]
         )
@@ -363,7 +367,7 @@ class Fillers:
             return f"{n} {road}, {town}"
         if k < 0.48:
             return f"Flat {r.randint(1, 19)}, {n} {road}, {town}"
-        if k < 0.64:
+        if k < 0.6:
             return f"Plot {r.randint(1, 60)}{r.choice('ABCD')}, {road}"
         if k < 0.78:
             return f"No. {n} {road}"
