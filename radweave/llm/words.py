@@ -16,7 +16,7 @@ _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _STEP = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: list[np.ndarray] = []
 
