@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     """
     one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
     return df.select("*", F.inline_outer(one).alias(*columns))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used: it becomes a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

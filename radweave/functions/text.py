@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from radweave.functions.barrier import let
 from radweave.functions.constants import BLANKS
 
 
@@ -35,12 +36,15 @@ def starts_of(text: Column, phrase: Column) -> Column:
     The phrase is a literal, so occurrences have one length and their starts follow from
     the pieces that splitting leaves; no function outside the JVM is needed.
     """
-    parts = F.split(text, F.concat(F.lit("\\b"), literal(phrase), F.lit("\\b")), -1)
     size = F.length(phrase)
-    walk = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p) + size).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.slice(walk, F.lit(1), F.size(parts) - 1)
+
+    def walk(parts: Column) -> Column:
+        end = F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, p: F.struct((acc["at"] + F.length(p) + size).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(p)).alias("out")),
+            lambda acc: acc["out"],
+        )
+        return F.slice(end, F.lit(1), F.size(parts) - 1)
+
+    return let(F.split(text, F.concat(F.lit("\\b"), literal(phrase), F.lit("\\b")), -1), walk)

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from radweave.functions.barrier import let
 from radweave.functions.constants import BLANKS
 from radweave.functions.text import strip
 
@@ -56,10 +57,12 @@ def redact(text: Column) -> Column:
 
 def drop_signature(text: Column, last: int = 3) -> Column:
     """Text without signature lines among its last lines; lines above are kept whatever they say."""
-    lines = F.split(F.regexp_replace(text, f"(?:{LINE_END})$", ""), LINE_END, -1)
-    n = F.size(lines)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when((i >= n - last) & strip(x).rlike(SIGNATURE), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
-    return F.array_join(kept, "\n")
+
+    def kept(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, i: F.when((i >= F.size(lines) - last) & strip(x).rlike(SIGNATURE), F.lit(None)).otherwise(x))
+        return F.filter(marked, lambda x: x.isNotNull())
+
+    return F.array_join(let(F.split(F.regexp_replace(text, f"(?:{LINE_END})$", ""), LINE_END, -1), kept), "\n")
 
 
 def clean_report(text: Column) -> Column:

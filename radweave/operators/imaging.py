@@ -9,16 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radweave.functions.barrier import once
+from radweave.functions.barrier import let, once
 
 
 def array_quantile(a: Column, q: float) -> Column:
     """Linear-interpolated quantile of an array column."""
-    s = F.sort_array(F.transform(a, lambda x: x.cast("double")))
     at = (F.size(a) - 1) * q
     lo = F.floor(at).cast("int")
-    low, high = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(a) - 1))
-    return low + (high - low) * (at - lo)
+
+    def between(s: Column) -> Column:
+        low, high = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(a) - 1))
+        return low + (high - low) * (at - lo)
+
+    return let(F.sort_array(F.transform(a, lambda x: x.cast("double"))), between)
 
 
 def clip_and_normalise(df: DataFrame, pixels: str, out: str, low: float = 0.01, high: float = 0.99) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radweave.functions.barrier import once
+from radweave.functions.barrier import let, once
 from radweave.functions.text import is_blank
 from radweave.operators.rules import Lexicon
 
@@ -26,15 +26,17 @@ def span_pattern(phrase: str) -> str:
 
 def _starts(text: Column, pattern: str) -> Column:
     """Structs (start, end) of all matches of a constant pattern."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.split(text, pattern, -1)
-    walk = F.aggregate(
-        F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["p"]).alias("start"), (a["at"] + x["p"] + x["m"]).alias("end"))).alias("out")),
-        lambda a: a["out"],
-    )
-    return walk
+
+    def walk(found: Column) -> Column:
+        return F.aggregate(
+            F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
+            lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["p"]).alias("start"), (a["at"] + x["p"] + x["m"]).alias("end"))).alias("out")),
+            lambda a: a["out"],
+        )
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)
 
 
 def with_spans(df: DataFrame, lexicon: Lexicon, text: str = "report_text", out: str = "spans") -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from radweave.functions import constants as C
 from radweave.functions.text import is_blank
 from radweave.operators import ensemble, hierarchy, rules, scores, sections
-from radweave.tables import table
+from radweave.tables import spread, table
 
 
 def reports(spark: SparkSession, folder: str, name: str = "ensemble_predictions") -> DataFrame:
     """(rec_id, study_id, report_text) of one table of reports."""
-    return table(spark, folder, name).select("rec_id", "study_id", "report_text")
+    return spread(table(spark, folder, name).select("rec_id", "study_id", "report_text"))
 
 
 def lexicon(spark: SparkSession, folder: str) -> rules.Lexicon:

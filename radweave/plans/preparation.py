@@ -13,7 +13,7 @@ from radweave.scratch import new_path
 from radweave.sources import reports as sources
 from radweave.sources import sinks
 from radweave.streaming import incremental
-from radweave.tables import table
+from radweave.tables import spread, table
 
 #: Key of the demonstration queries; real runs take ``deid.secret()``.
 KEY = "demonstration-key"
@@ -155,13 +155,13 @@ def merged_training(spark: SparkSession, folder: str) -> DataFrame:
 
 def report_spans(spark: SparkSession, folder: str) -> DataFrame:
     """All lexicon spans with letter-and-digit edges."""
-    df = spans.with_spans(table(spark, folder, "ensemble_predictions").select("rec_id", "report_text"), labelling.lexicon(spark, folder))
+    df = spans.with_spans(spread(table(spark, folder, "ensemble_predictions").select("rec_id", "report_text")), labelling.lexicon(spark, folder))
     return df.select("rec_id", F.explode("spans").alias("s")).select("rec_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), "s.label")
 
 
 def resolved_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Spans without overlaps."""
-    df = spans.with_spans(table(spark, folder, "ensemble_predictions").select("rec_id", "report_text"), labelling.lexicon(spark, folder))
+    df = spans.with_spans(spread(table(spark, folder, "ensemble_predictions").select("rec_id", "report_text")), labelling.lexicon(spark, folder))
     return df.select("rec_id", F.explode(spans.without_overlaps(F.col("spans"))).alias("s")).select("rec_id", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), "s.label")
 
 
