@@ -19,6 +19,8 @@ from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from radweave.llm.encoding import inspect
 
@@ -160,3 +162,13 @@ def canonical_batches(skip_damaged: bool):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(why, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["id", "kinds", "canonical"])
 
     return run
+
+
+def deviating(texts: DataFrame, skip_damaged: bool = False) -> DataFrame:
+    """(id, kinds, canonical) of the rows of ``texts`` (id bigint, text string) not in the one consistent form.
+
+    Null, empty and consistent texts give no row; with ``skip_damaged`` neither do texts read in a wrong
+    encoding; repeated rows each give theirs; other columns are ignored.
+    """
+    own = texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(canonical_batches(skip_damaged), "id long, kinds array<string>, canonical string")

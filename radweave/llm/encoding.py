@@ -23,6 +23,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MARGIN = 1.9
 ISLAND = re.compile(r"[^\x00-\x7f]+")
@@ -244,3 +246,13 @@ def inspect_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 flags.append(whole)
                 texts.append(text)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(texts, pa.string())], names=["id", "restored", "original"])
+
+
+def repaired(texts: DataFrame) -> DataFrame:
+    """(id, restored, original) of the damaged rows of ``texts`` (id bigint, text string).
+
+    ``original`` is the cheapest reachable text, ``restored`` whether nothing unreadable remains in it. Null,
+    empty and undamaged texts give no row; repeated rows each give theirs; other columns are ignored.
+    """
+    own = texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(inspect_batches, "id long, restored boolean, original string")

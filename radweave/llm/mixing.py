@@ -146,11 +146,11 @@ class Mixture:
         own = self.chosen.groupBy("source").agg(
             F.count(F.lit(1)).alias("n_rows"), F.sum("repeats").alias("n_uses"), F.max("repeats").alias("most_repeats"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens")
         )
-        all_tokens = own.agg(F.sum("tokens").alias("all_tokens"))
+        all_tokens = own.agg(F.sum("tokens")).scalar()
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-        joined = self.quota.join(own, "source", "left").crossJoin(F.broadcast(all_tokens))
+        joined = self.quota.join(own, "source", "left")
         return joined.select(
             "source", F.col("share").alias("target_share"), zero("n_rows"), zero("n_uses"), zero("most_repeats"), zero("tokens"),
-            F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
+            F.coalesce(F.col("tokens") / all_tokens, F.lit(0.0)).alias("actual_share"),
             (F.col("passes") + (F.col("extra") > 0).cast("long") < F.col("most")).alias("repeats_left"),
         )

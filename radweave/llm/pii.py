@@ -24,6 +24,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from radweave.llm import words
 from radweave.llm.canonical import canonical
@@ -403,7 +405,7 @@ def details(model, with_text: bool = False):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], [], []]
-            for lo, hi in words.chunks(texts):
+            for lo, hi in words.chunks(texts, 1 << 20):
                 own = [t or "" for t in texts[lo:hi]]
                 for i, text, spans in zip(ids[lo:hi], own, decoder.find(own)):
                     if with_text and spans:
@@ -419,3 +421,23 @@ def details(model, with_text: bool = False):
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["id", "kind", "start_at", "end_at"])
 
     return run
+
+
+def find_details(texts: DataFrame, model: Model | None = None) -> DataFrame:
+    """(id, kind, start_at, end_at) of every detail in ``texts`` (id bigint, text string), positions in code points.
+
+    Null and empty texts have none; repeated rows each give theirs; other columns are ignored. The model is
+    broadcast (under 2 MB).
+    """
+    return _mapped(texts, model, False, "id long, kind string, start_at int, end_at int")
+
+
+def redacted(texts: DataFrame, model: Model | None = None) -> DataFrame:
+    """(id, n_details, redacted) of the texts with details: a typed placeholder in place of each, nothing else changed."""
+    return _mapped(texts, model, True, "id long, n_details int, redacted string")
+
+
+def _mapped(texts: DataFrame, model: Model | None, with_text: bool, kind: str) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(model or train())
+    own = texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(details(sent, with_text), kind)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radweave.llm import canonical, encoding, leakage, mixing, neardup, overlap, pii, spans
-from radweave.tables import table
+from radweave.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ def _reports(spark: SparkSession, folder: str, *names: str) -> DataFrame:
     """(id, text) of the report texts of several tables."""
     out = None
     for name in names:
-        one = table(spark, folder, name).select(F.col("rec_id").alias("id"), F.col("report_text").alias("text"))
+        one = spread(table(spark, folder, name).select(F.col("rec_id").alias("id"), F.col("report_text").alias("text")))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -37,7 +37,7 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "training_reports_augmented").select(F.col("rec_id").alias("id"), F.col("report_text").alias("text"), "split")
+    rows = spread(table(spark, folder, "training_reports_augmented").select(F.col("rec_id").alias("id"), F.col("report_text").alias("text"), "split"))
     return overlap.text_overlaps(rows.filter("split = 'train'"), rows.filter("split in ('val', 'test')"), threshold=0.75, min_words=20)
 
 
@@ -96,11 +96,8 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_DAMAGED = "id long, restored boolean, original string"
-
-
 def _damaged(spark: SparkSession, folder: str) -> DataFrame:
-    return _reports(spark, folder, "ensemble_predictions", "disagreement_log").mapInArrow(encoding.inspect_batches, _DAMAGED)
+    return encoding.repaired(_reports(spark, folder, "ensemble_predictions", "disagreement_log"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,9 +111,8 @@ def p3_repaired(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _deviating(spark: SparkSession, folder: str) -> DataFrame:
-    kind = "id long, kinds array<string>, canonical string"
-    one = _reports(spark, folder, "ensemble_predictions").mapInArrow(canonical.canonical_batches(True), kind)
-    return one.unionByName(_reports(spark, folder, "annotated_reports").mapInArrow(canonical.canonical_batches(False), kind))
+    one = canonical.deviating(_reports(spark, folder, "ensemble_predictions"), skip_damaged=True)
+    return one.unionByName(canonical.deviating(_reports(spark, folder, "annotated_reports")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +126,7 @@ def p4_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    docs = spread(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "text"))
     return mixing.Mixture(docs, table(spark, folder, "mix_targets"))
 
 
@@ -144,19 +140,14 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).report()
 
 
-def _details(spark: SparkSession, folder: str, with_text: bool, kind: str) -> DataFrame:
-    model = spark.sparkContext.broadcast(pii.train())
-    return _reports(spark, folder, "ensemble_predictions", "annotated_reports").mapInArrow(pii.details(model, with_text), kind).withColumnRenamed("id", "rec_id")
-
-
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every personal detail: record, kind and position of its first character."""
-    return _details(spark, folder, False, "id long, kind string, start_at int, end_at int").select("rec_id", "kind", "start_at")
+    return pii.find_details(_reports(spark, folder, "ensemble_predictions", "annotated_reports")).select(F.col("id").alias("rec_id"), "kind", "start_at")
 
 
 def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Records with personal details, with a typed placeholder in place of each."""
-    return _details(spark, folder, True, "id long, n_details int, redacted string")
+    return pii.redacted(_reports(spark, folder, "ensemble_predictions", "annotated_reports")).withColumnRenamed("id", "rec_id")
 
 
 def queries() -> dict[str, Query]:

@@ -48,11 +48,17 @@ def test_shared_spans(spark, n, crowd):
 
 
 def test_spans_of_copies_and_nothing(spark):
-    t = "".join(random.Random(1).choice("abcdef") for _ in range(500))
+    r = random.Random(1)
+    t = "".join(r.choice("abcdef") for _ in range(500))
     df = spark.createDataFrame([(i, t) for i in range(50)], "id long, text string")
-    assert {(r.start_at, r.end_at) for r in spans.shared_spans(df, 300).collect()} == {(0, 500)}
+    assert {(x.start_at, x.end_at) for x in spans.shared_spans(df, 300).collect()} == {(0, 500)}
     assert spans.shared_spans(df.filter("id = 1"), 300).count() == 0
     assert spans.shared_spans(df.limit(0), 300).count() == 0
+    twice = spark.createDataFrame([(1, t), (1, t), (2, t[:400])], "id long, text string")
+    assert {(x.id, x.start_at, x.end_at) for x in spans.shared_spans(twice, 300).collect()} == {(1, 0, 400), (2, 0, 400)}
+    assert spans.shared_spans(twice.filter("id = 1"), 300).count() == 0
+    same = spark.createDataFrame([(1, "b" * 500), (2, "b" * 400)], "id long, text string")
+    assert {(x.id, x.start_at, x.end_at) for x in spans.shared_spans(same, 300).collect()} == {(1, 0, 500), (2, 0, 400)}
 
 
 def test_pfair_windows():
@@ -131,12 +137,12 @@ def test_placeholders_and_table(spark, model):
     assert [(a, k) for a, _, k in found] == [(9, "name"), (text.index("0192"), "phone")]
     assert pii.placeholder(text, found) == "Patient: [NAME]\nTel [PHONE]. No fluid."
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, text), (5, "clear lung. " * 5000 + text)], "id long, text string")
-    m = spark.sparkContext.broadcast(model)
-    rows = df.mapInArrow(pii.details(m), "id long, kind string, start_at int, end_at int").collect()
+    df = df.selectExpr("'clash' AS kind", "id", "text")
+    rows = pii.find_details(df, model).collect()
     assert {r.id for r in rows} == {1, 4, 5} and sum(r.id == 1 for r in rows) == 2
-    red = {r.id: r.redacted for r in df.mapInArrow(pii.details(m, True), "id long, n_details int, redacted string").collect()}
+    red = {r.id: r.redacted for r in pii.redacted(df, model).collect()}
     assert red[4].startswith("Patient: [NAME]") and red[5].endswith("Tel [PHONE]. No fluid.")
-    assert df.limit(0).mapInArrow(pii.details(m), "id long, kind string, start_at int, end_at int").count() == 0
+    assert pii.find_details(df.limit(0), model).count() == 0
 
 
 def test_suffix_automaton_equals_brute_force():

@@ -44,9 +44,13 @@ def test_twice_and_partly():
 
 def test_batches(spark):
     df = spark.createDataFrame([(1, "fiÃ¨vre"), (2, None), (3, "ok"), (4, "fiÃ¨vre"), (5, "x" * 100_000 + " Ã©tÃ©")], "id long, text string")
-    got = {r.id: r for r in df.mapInArrow(encoding.inspect_batches, "id long, restored boolean, original string").collect()}
+    df = df.selectExpr("1 AS kinds", "2 AS restored", "id", "text")
+    got = {r.id: r for r in encoding.repaired(df).collect()}
     assert set(got) == {1, 4, 5} and got[1].original == "fièvre" and got[5].original.endswith(" été")
-    assert df.limit(0).mapInArrow(encoding.inspect_batches, "id long, restored boolean, original string").count() == 0
+    assert encoding.repaired(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, "ﬁne"), (1, "ﬁne"), (2, None), (None, "a\xa0b"), (3, "fiÃ¨vre\xa0")], "id long, text string").selectExpr("1 AS kinds", "id", "text")
+    assert sorted((r.id or 0, r.canonical) for r in canonical.deviating(odd, skip_damaged=True).collect()) == [(0, "a b"), (1, "fine"), (1, "fine")]
+    assert canonical.deviating(odd).count() == 4 and canonical.deviating(odd.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(
