@@ -83,3 +83,15 @@ def deidentify_headers(df: DataFrame, key: str) -> DataFrame:
     if "patient_id" in df.columns:
         out = out.withColumn("patient_id", F.concat(F.lit("ANON_"), hash_id(F.col("patient_id"), key)))
     return out.withColumn("patient_name", F.lit("ANON")).withColumn("deidentified", F.lit(True))
+
+
+def with_defaults(df: DataFrame, **defaults: object) -> DataFrame:
+    """Missing pixel metadata filled with defaults; a field that is absent altogether is added."""
+    for name, value in defaults.items():
+        df = df.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value))
+    return df
+
+
+def outcomes(df: DataFrame, error: str = "parse_error") -> DataFrame:
+    """(study_id, n_ok, n_failed): files per study that could be de-identified, and that could not; none is dropped silently."""
+    return df.groupBy("study_id").agg(F.count_if(F.col(error).isNull()).alias("n_ok"), F.count_if(F.col(error).isNotNull()).alias("n_failed"))

@@ -27,6 +27,11 @@ def sample_size(z: float = 1.96, p: float = 0.5, error: float = 0.03, population
     return round(n if population is None else n / (1 + (n - 1) / population))
 
 
+def pick_size(available: int, earlier: int | None = None, usual: int = 500) -> int:
+    """Size of a sample: that of an earlier one, else the usual, never more than there is."""
+    return min(earlier if earlier is not None else usual, available)
+
+
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: str = "42") -> DataFrame:
     """Proportional sample: round(share * n) per stratum (halves to even), capped at its size, then trimmed or topped up to n.
 

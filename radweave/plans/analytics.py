@@ -312,7 +312,7 @@ def oracle_sql() -> dict[str, str]:
         "policy_decisions": f"WITH n AS (SELECT policy, decision, count(*) AS n, count(DISTINCT study_id) AS n_studies FROM {log} GROUP BY ALL) SELECT policy, decision, n, n_studies, round(n / sum(n) OVER (PARTITION BY policy), 6) AS share FROM n",
         "method_agreement": f"WITH {_THREE}, j AS (SELECT rec_id, {_jac('a', 'b')} AS rb_bert, {_jac('a', 'c')} AS rb_final, {_jac('b', 'c')} AS bert_final FROM la) SELECT rec_id, round(rb_bert, 6) AS rb_bert, round(rb_final, 6) AS rb_final, round(bert_final, 6) AS bert_final, round((rb_bert + rb_final + bert_final) / 3, 6) AS agreement_score FROM j",
         "quality_dashboard": f"WITH {_THREE} SELECT round(avg({_jac('a', 'b')}), 6) AS rb_bert, round(avg({_jac('a', 'c')}), 6) AS rb_final, round(avg({_jac('b', 'c')}), 6) AS bert_final FROM la",
-        "compiled_reports": f"SELECT rec_id, {_WC} AS word_count, length(coalesce(report_text, '')) AS character_count, regexp_matches(coalesce(report_text, ''), '(?i)(findings|comments|body)[\\s\\x0b]*:') AS has_findings, regexp_matches(coalesce(report_text, ''), '(?i)(impression|conclusion|summary|notes)[\\s\\x0b]*:') AS has_impression FROM {e}",
+        "compiled_reports": f"SELECT rec_id, ({_WC})::INTEGER AS word_count, length(coalesce(report_text, ''))::INTEGER AS character_count, regexp_matches(coalesce(report_text, ''), '(?i)(findings|comments|body)[\\s\\x0b]*:') AS has_findings, regexp_matches(coalesce(report_text, ''), '(?i)(impression|conclusion|summary|notes)[\\s\\x0b]*:') AS has_impression FROM {e}",
         "review_triage": f"""WITH {_THREE}, j AS (SELECT rec_id, {_jac('a', 'b')} AS r, {risk} AS high_risk, len(c) AS n, {_WC} AS wc FROM la)
             SELECT rec_id, high_risk, CASE WHEN r >= 0.3 AND r < 0.5 THEN 2 WHEN r < 0.3 OR high_risk THEN 3 WHEN n >= 3 THEN 2 WHEN wc > 120 THEN 1 ELSE 0 END AS review_priority FROM j""",
         "compiled_join": f"SELECT e.study_id, e.rec_id, e.num_labels, a.rec_id AS ann_id, {_S('a.review_priority')} AS review_priority FROM {e} e JOIN annotated_reports a ON a.study_id = e.study_id WHERE e.study_id <> '{LOST}' AND a.review_priority IS NOT NULL",

@@ -305,20 +305,20 @@ def oracle_sql() -> dict[str, str]:
     return {
         "rule_header": f"SELECT rec_id, {_strip("regexp_replace(coalesce(report_text, ''), '" + C.HEADER + "', '')")} AS plain_text FROM {src}",
         "rule_sections": f"WITH {_sections(src)} SELECT rec_id, section_idx, section, section_text FROM secs",
-        "rule_hits": f"WITH {_hits(src)} SELECT rec_id, label, phrase_idx, phrase, section, st AS start_at, en AS end_at, round(score, 6) AS score, uncertain FROM hits",
-        "rule_results": f"WITH {_results(src)} SELECT rec_id, label, round(score, 6) AS score, uncertain, fallback, round(ctr_value, 6) AS ctr_value, n AS n_evidence FROM results",
+        "rule_hits": f"WITH {_hits(src)} SELECT rec_id, label, phrase_idx, phrase, section, st::INTEGER AS start_at, en::INTEGER AS end_at, round(score, 6) AS score, uncertain FROM hits",
+        "rule_results": f"WITH {_results(src)} SELECT rec_id, label, round(score, 6) AS score, uncertain, fallback, round(ctr_value, 6) AS ctr_value, n::INTEGER AS n_evidence FROM results",
         "rule_evidence": rf"""WITH {_results(src)}, evs AS (
             SELECT rec_id, label, er AS o, phrase, section, st, en FROM ev0
             UNION ALL SELECT rec_id, 'Cardiomegaly', 0, 'CTR=' || printf('%.2f', v), 'numeric', st, st + length(mt) FROM ratio
             UNION ALL SELECT f.rec_id, 'Other Significant Abnormality', 1, regexp_extract(low_all, '{_CUE}', 2), 'full_text', length(regexp_extract(low_all, '{_CUE}', 1)), length(regexp_extract(low_all, '{_CUE}', 1)) + length(regexp_extract(low_all, '{_CUE}', 2))
               FROM flags f JOIN results r ON r.rec_id = f.rec_id AND r.fallback)
-            SELECT rec_id, label, (rn - 1)::INTEGER AS ev_no, phrase, section, st AS start_at, en AS end_at FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, label ORDER BY o) AS rn FROM evs) WHERE rn <= 3""",
+            SELECT rec_id, label, (rn - 1)::INTEGER AS ev_no, phrase, section, st::INTEGER AS start_at, en::INTEGER AS end_at FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, label ORDER BY o) AS rn FROM evs) WHERE rn <= 3""",
         "rule_meta": f"WITH {_results(src)} SELECT f.rec_id, has_normal_phrase, has_abnormal_cue, coalesce((SELECT string_agg(section, ',' ORDER BY section_idx) FROM secs s WHERE s.rec_id = f.rec_id), '') AS sections_found FROM flags f",
         "rule_labels": f"WITH {_results(src)} SELECT f.rec_id, coalesce(string_agg(r.label, ',' ORDER BY r.label), 'Normal') AS labels FROM flags f LEFT JOIN results r ON r.rec_id = f.rec_id AND r.score >= 0.55 GROUP BY f.rec_id",
         "rule_hierarchy": f"""WITH {_results(src)} SELECT f.rec_id, CASE WHEN count(h.label) > 0 THEN 'abnormal' ELSE 'normal' END AS tier1, coalesce(string_agg(DISTINCT h.tier2, ',' ORDER BY h.tier2), '') AS tier2,
             coalesce(string_agg(h.label, ',' ORDER BY h.label), '') AS tier3 FROM flags f LEFT JOIN results r ON r.rec_id = f.rec_id AND r.score >= 0.55 LEFT JOIN label_hierarchy h ON h.label = r.label GROUP BY f.rec_id""",
         "ratio_values": f"""WITH rep AS (SELECT rec_id, report_text IS NULL AS blank, lower(report_text) AS low_all FROM {src}), {_RATIO_SQL}
-            SELECT rec_id, round(v, 6) AS ctr_value, round(least(0.85::DOUBLE, 0.60::DOUBLE + (v - 0.50::DOUBLE) * 2.0), 6) AS score, st AS start_at, st + length(mt) AS end_at FROM ratio""",
+            SELECT rec_id, round(v, 6) AS ctr_value, round(least(0.85::DOUBLE, 0.60::DOUBLE + (v - 0.50::DOUBLE) * 2.0), 6) AS score, st AS start_at, (st + length(mt))::INTEGER AS end_at FROM ratio""",
         "tier_lookup": "SELECT d.rec_id, d.label, h.tier2 FROM disagreement_log d JOIN label_hierarchy h USING (label)",
         "score_average": f"WITH {_averages()} SELECT study_id, n_folds::INTEGER AS n_folds, round(normal_prob, 6) AS normal_prob, label, round(prob, 6) AS prob FROM avgs",
         "score_predictions": f"WITH {_averages()} SELECT study_id, fold, label, p / 10000.0 AS score, p >= 5000 AS predicted, p >= 3000 AND p < 5000 AS uncertain FROM one WHERE label <> 'Normal' AND p IS NOT NULL",
@@ -330,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "ensemble_disagreements": f"WITH {_cells()} SELECT rec_id, study_id, label, policy, rb_detected, bert_detected, round(bert_prob + 1e-9, 4) AS bert_prob, round(rb_score + 1e-9, 4) AS rb_score, decision, reason FROM cells WHERE decision IS NOT NULL",
         "ensemble_summary": f"WITH {_cells()},{_SUMMARY} SELECT * FROM summ",
         "ensemble_wide": f"WITH {_cells()},{_wide()} SELECT * FROM wide",
-        "prediction_record": f"WITH {_cells()},{_SUMMARY},{_wide()} SELECT s.*, w.* EXCLUDE (rec_id), coalesce(length(a.report_text), 0) AS report_length FROM summ s JOIN wide w USING (rec_id) JOIN annotated_reports a USING (rec_id)",
+        "prediction_record": f"WITH {_cells()},{_SUMMARY},{_wide()} SELECT s.*, w.* EXCLUDE (rec_id), coalesce(length(a.report_text), 0)::INTEGER AS report_length FROM summ s JOIN wide w USING (rec_id) JOIN annotated_reports a USING (rec_id)",
         "union_vote": """WITH p AS (SELECT rec_id, unnest(string_split(coalesce(rb_labels_str, '') || ',' || coalesce(bert_labels_str, ''), ',')) AS x FROM ensemble_predictions)
             SELECT rec_id, coalesce(string_agg(DISTINCT x, ',' ORDER BY x) FILTER (trim(x) NOT IN ('', 'Normal')), '') AS labels FROM p GROUP BY rec_id""",
     }

@@ -84,6 +84,11 @@ def deidentified_headers(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("study_id", "file", "modality", "patient_id", "patient_name", "study_date", "deidentified")
 
 
+def deidentification_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Files per study done and failed, with pixel metadata defaults in place."""
+    return deid.outcomes(deid.with_defaults(_headers(spark, folder), modality="DX", bits_stored=16))
+
+
 def normalised_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Embedding vectors as 8 x 8 images, clipped and scaled inside the JVM."""
     df = imaging.clip_and_normalise(table(spark, folder, "embeddings").select("vec_id", "embedding"), "embedding", "v")
@@ -213,7 +218,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            file_validation, study_validation, dataset_validation, primary_images, hashed_ids, shifted_dates, redacted_reports, cleaned_reports, deidentified_headers, normalised_vectors,
+            file_validation, study_validation, dataset_validation, primary_images, hashed_ids, shifted_dates, redacted_reports, cleaned_reports, deidentified_headers, deidentification_outcomes, normalised_vectors,
             padded_images, qc_sample, stratified_sample, prefill_links, reorganised_studies, excluded_studies, kept_studies, synthetic_reports, hard_negative_reports, merged_training,
             report_spans, resolved_spans, weak_labels, guarded_labels, csv_round_trip, json_round_trip, streamed_labels, resumed_reports,
         )
@@ -310,6 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "redacted_reports": f"SELECT rec_id, {_redact('report_text')} AS redacted FROM {e}",
         "cleaned_reports": f"WITH l AS (SELECT rec_id, report_text, {lines} AS ls FROM {e}) SELECT rec_id, CASE WHEN report_text IS NULL THEN NULL ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT (i > len(ls) - 3 AND regexp_matches({_S('x')}, '{signature}'))), chr(10)), '') END AS cleaned FROM l",
         "deidentified_headers": f"WITH hd AS (SELECT {_HEADERS} FROM part) SELECT study_id, file, modality, 'ANON_' || {_hash('patient_id')} AS patient_id, 'ANON' AS patient_name, {_shift("'20240229'", _offset('study_id'))} AS study_date, true AS deidentified FROM hd",
+        "deidentification_outcomes": f"WITH hd AS (SELECT {_HEADERS} FROM part) SELECT study_id, count(*) FILTER (parse_error IS NULL) AS n_ok, count(*) FILTER (parse_error IS NOT NULL) AS n_failed FROM hd GROUP BY study_id",
         "normalised_vectors": """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_aggregate(list_transform(embedding, lambda x: x::DOUBLE), 'quantile_cont', 0.01) AS p, list_aggregate(list_transform(embedding, lambda x: x::DOUBLE), 'quantile_cont', 0.99) AS r FROM embeddings),
             v AS (SELECT vec_id, list_transform(e, lambda x: (greatest(p, least(r, x)) - p) / (r - p + 1e-6)) AS v FROM q) SELECT vec_id, round(list_min(v), 6) AS least, round(list_max(v), 6) AS most, round(list_sum(v), 5) AS total FROM v""",
         "qc_sample": f"SELECT study_id, image_path, r::INTEGER AS qc_id, printf('%03d_%s', r, study_id) AS folder FROM (SELECT *, row_number() OVER (ORDER BY {draw('study_id')}, study_id) AS r FROM study_metadata) WHERE r <= 100",

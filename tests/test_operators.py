@@ -107,6 +107,11 @@ def test_deidentification(spark, monkeypatch):
         deid.secret()
 
 
+def test_defaults(spark):
+    r = deid.with_defaults(spark.createDataFrame([(1, None), (2, 12)], "id int, bits int"), bits=16, rows=0).orderBy("id").collect()
+    assert [(x.bits, x.rows) for x in r] == [(16, 0), (12, 0)]
+
+
 def test_validation_of_bare_study(spark):
     files = spark.createDataFrame([], "study_id string, file string, modality string, body_part string, study_desc string, series_desc string, protocol string, view_position string, patient_id string, instance_no int, has_pixels boolean, parse_error string, content string")
     studies = spark.createDataFrame([("a", True)], "study_id string, has_report boolean")
@@ -170,6 +175,7 @@ def test_samples(spark):
     placed = sampling.positions(df.repartition(5), "id").collect()
     assert all(r.position == r.id + 1 for r in placed) and len(placed) == 1000
     assert sampling.positions(df.limit(0), "id").count() == 0
+    assert (sampling.pick_size(300), sampling.pick_size(900), sampling.pick_size(900, 497)) == (300, 500, 497)
     assert (sampling.sample_size(population=5637), sampling.sample_size()) == (897, 1067)
     kept, audit = sampling.exclude(df, spark.createDataFrame([(3,), (3,), (5000,)], "id long"), "id")
     assert kept.count() == 999 and {(r.id, r.outcome) for r in audit.collect()} == {(3, "excluded"), (5000, "unknown")}
