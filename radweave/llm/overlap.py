@@ -93,8 +93,7 @@ def _scan(path: str, shards: int, held: int):
                 hits = np.fromiter(hit, np.int64, len(hit))
                 size = first[hits + 1] - first[hits]
                 at = np.repeat(first[hits] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                who, times = np.unique(number[at], return_counts=True)
-                who = who[times >= need[who]]
+                who = np.flatnonzero(np.bincount(number[at], minlength=len(known)) >= need)
                 left += [i] * len(who)
                 right.append(known[who])
                 if len(left) > 100_000:
