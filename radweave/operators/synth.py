@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radweave.operators import templates as T
+
 SIDES = ("left", "right")
 ZONES = ("upper", "mid", "lower")
 FINDINGS = {
@@ -52,6 +54,60 @@ def positives(real: DataFrame, target: int) -> DataFrame:
     return each.select(F.format_string("synth_%06d", "n").alias("study_id"), text.alias("report_text"), F.col("label").alias("gold_labels"))
 
 
+def _draw(n: Column, what: str | Column, k: int | Column) -> Column:
+    """Number below k from the hash of the report's number and a name of the choice: choices of different names do not hang together."""
+    name = F.lit(what) if isinstance(what, str) else what
+    digest = F.substring(F.md5(F.concat_ws(":", n.cast("string"), name)), 1, 8)
+    return F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(k) if isinstance(k, int) else k).cast("int")
+
+
+def _drawn(options: Column, n: Column, what: str | Column) -> Column:
+    return F.element_at(options, _draw(n, what, F.size(options)) + 1)
+
+
+def _shuffled(options: Column, n: Column, what: str) -> Column:
+    keyed = F.transform(options, lambda x: F.struct(F.md5(F.concat_ws(":", n.cast("string"), F.lit(what), x)).alias("h"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+
+
+def _array(options: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(o) for o in options])
+
+
+def rare_positives(real: DataFrame, target: int) -> DataFrame:
+    """(study_id, report_text, gold_labels, is_synthetic, primary_augmented_label): max(0, target - real count) reports for each of the six rare labels.
+
+    ``real`` has (label, n); a label that it lacks counts 0. Every report has one anatomy, 1 to 3 findings of its label, each
+    co-label with 35 in 100, 2 to 4 normal sentences among them in drawn order, an impression and mostly a sign-off.
+    """
+    rows = [(x, k, list(f), list(i), [(c, list(T.CO_FINDINGS[c]), T.CO_IMPRESSIONS[c]) for c in T.CO_LABELS[x]]) for k, (x, (f, i)) in enumerate(T.POSITIVES.items())]
+    schema = "label string, k long, findings array<string>, impressions array<string>, co array<struct<label: string, findings: array<string>, impression: string>>"
+    base = real.sparkSession.createDataFrame(rows, schema).join(real.groupBy("label").agg(F.sum("n").alias("n")), "label", "left")
+    need = F.greatest(F.lit(0).cast("long"), F.lit(target) - F.coalesce("n", F.lit(0)))
+    each = base.withColumn("need", need).filter("need > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))))
+    each = each.withColumn("n", (F.col("i") - 1) * len(rows) + F.col("k"))
+    n = F.col("n")
+    each = each.withColumn("co", F.filter("co", lambda c: _draw(n, F.concat(F.lit("co "), c["label"]), 100) < 35))
+    found = F.concat(
+        F.slice(_shuffled(F.col("findings"), n, "finding"), F.lit(1), _draw(n, "findings", 3) + 1),
+        F.transform("co", lambda c: _drawn(c["findings"], n, F.concat(F.lit("co finding "), c["label"]))),
+        F.slice(_shuffled(_array(T.BOILERPLATE), n, "normal"), F.lit(1), _draw(n, "normals", 3) + 2),
+    )
+    section = F.when(_draw(n, "section", 2) == 0, _drawn(_array(T.FINDINGS_HEADERS), n, "section header")).otherwise("")
+    impression = F.concat_ws(" ", _drawn(F.col("impressions"), n, "impression"), F.transform("co", lambda c: c["impression"]))
+    tail = F.array(_drawn(_array(T.IMPRESSION_HEADERS), n, "impression header"), impression, _drawn(_array(T.SIGNOFFS), n, "sign-off"))
+    lines = F.concat(F.array(_drawn(_array(T.HEADERS), n, "header"), section), _shuffled(found, n, "order"), tail)
+    text = F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+    anatomy = {
+        "{side}": _drawn(_array(("right", "left")), n, "side"), "{zone}": _drawn(_array(("upper", "middle", "lower")), n, "zone"),
+        "{size}": ((_draw(n, "size", 46) + 15) / 10.0).cast("string"), "{ctr}": ((_draw(n, "ctr", 20) + 53) / 100.0).cast("string"),
+    }
+    for mark, value in anatomy.items():
+        text = F.replace(text, F.lit(mark), value)
+    gold = F.array_join(F.array_sort(F.array_distinct(F.concat(F.array("label"), F.transform("co", lambda c: c["label"])))), ",")
+    return each.select(F.format_string("synth_%06d", n).alias("study_id"), text.alias("report_text"), gold.alias("gold_labels"), F.lit(True).alias("is_synthetic"), F.col("label").alias("primary_augmented_label"))
+
+
 def hard_negatives(spark: SparkSession, labels: tuple[str, ...], per_label: int = 15) -> DataFrame:
     """(study_id, report_text, gold_labels, neg_target): reports that name a finding only to deny it; templates in turn, wording varied."""
     total = len(labels) * per_label

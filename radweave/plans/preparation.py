@@ -146,6 +146,13 @@ def synthetic_reports(spark: SparkSession, folder: str) -> DataFrame:
     return synth.positives(real, 200)
 
 
+def rare_label_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Template reports of all six rare labels up to a target count, labels without a real report included."""
+    own = F.array_distinct(agreement.as_list("gold_labels"))
+    real = table(spark, folder, "annotated_reports").select(F.explode(own).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return synth.rare_positives(real, 200)
+
+
 def hard_negative_reports(spark: SparkSession, folder: str) -> DataFrame:
     return synth.hard_negatives(spark, C.LABELS[:12])
 
@@ -219,7 +226,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             file_validation, study_validation, dataset_validation, primary_images, hashed_ids, shifted_dates, redacted_reports, cleaned_reports, deidentified_headers, deidentification_outcomes, normalised_vectors,
-            padded_images, qc_sample, stratified_sample, prefill_links, reorganised_studies, excluded_studies, kept_studies, synthetic_reports, hard_negative_reports, merged_training,
+            padded_images, qc_sample, stratified_sample, prefill_links, reorganised_studies, excluded_studies, kept_studies, synthetic_reports, rare_label_reports, hard_negative_reports, merged_training,
             report_spans, resolved_spans, weak_labels, guarded_labels, csv_round_trip, json_round_trip, streamed_labels, resumed_reports,
         )
     }

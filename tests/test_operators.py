@@ -191,6 +191,31 @@ def test_synthetic(spark):
     assert synth.merge(synth.positives(real, 10), synth.hard_negatives(spark, ("A",), 2)).filter("neg_target = ''").count() == 3
 
 
+def test_rare_positives_do_the_whole_job(spark):
+    from radweave.operators import templates as T
+
+    real = spark.createDataFrame([("Pulmonary Edema", 7), ("Suspected Malignancy", 55), ("Cardiomegaly", 3)], "label string, n long")
+    rows = synth.rare_positives(real, 50).collect()
+    count = {x: sum(r.primary_augmented_label == x for r in rows) for x in T.POSITIVES}
+    assert count == {"Post-Surgical Changes": 50, "Lung Mass / Nodule": 50, "Pulmonary Edema": 43, "Suspected Malignancy": 0, "Tuberculosis": 50, "Atelectasis": 50}
+    assert len({r.study_id for r in rows}) == len(rows) == 243
+    extra = normals = 0
+    sizes = set()
+    for r in rows:
+        lines, labels = r.report_text.split("\n"), r.gold_labels.split(",")
+        assert "{" not in r.report_text and lines[0] in T.HEADERS and any(x in T.IMPRESSION_HEADERS for x in lines)
+        assert r.primary_augmented_label in labels and labels == sorted(set(labels)) and set(labels) <= {r.primary_augmented_label, *T.CO_LABELS[r.primary_augmented_label]}
+        normals = sum(x in T.BOILERPLATE for x in lines)
+        at = next(i for i, x in enumerate(lines) if i and x in T.IMPRESSION_HEADERS)
+        own = at - 1 - normals - (lines[1] in T.FINDINGS_HEADERS) - (len(labels) - 1)
+        assert 2 <= normals <= 4 and 1 <= own <= 3
+        sizes.add((normals, own))
+        extra += len(labels) - 1
+    assert len(sizes) == 9 and 0.25 < extra / (3 * len(rows)) < 0.45
+    again = synth.rare_positives(real.repartition(3), 50).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
 def test_sources_and_sinks(spark, tmp_path):
     folder = tmp_path / "reports"
     folder.mkdir()
