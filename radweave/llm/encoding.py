@@ -4,10 +4,15 @@ Damage shows only in runs of characters beyond ASCII, so every text is cut into
 such *islands* with their two neighbours.  For each distinct island a best-first
 graph search looks for the cheapest reachable spelling: nodes are spellings
 (hashed in a visited set), edges are encode-decode steps (UTF-8 bytes read in one
-of several code pages; bytes of one code page read in another) and unescape
-steps, and the cost is the implausibility of the characters in their place.
-Every UTF-8 step shortens the spelling and code-page steps are taken only
-from the original, so the graph is finite and searched completely.
+of several code pages; bytes of one code page read in another), and the cost
+is the implausibility of the characters in their place.
+Every UTF-8 step shortens the spelling and a code-page step follows only the
+original or a UTF-8 step, so the graph is finite and searched completely; two
+code-page steps in direct succession are not searched, as those alone reach up
+to 128 ** length spellings.
+
+Escapes are plain ASCII, which no step on an island writes, so undoing them
+before the search, again until nothing changes, reaches what edges for them would.
 
 An island is damaged if a spelling at least ``MARGIN`` cheaper is reached, or if it holds
 what no proper writing has: C1 controls or the replacement character.
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -177,19 +183,20 @@ def repair_island(text: str, left: str, right: str) -> tuple[str, float, float]:
     """(cheapest spelling, its cost, cost as written) of one island."""
     start = cost_of(text, left, right)
     best, least = text, start
-    queue: list[tuple[float, int, str]] = [(start, 0, text)]
-    visited = {text}
+    queue: list[tuple[float, int, str, bool, float]] = [(start, 0, text, True, math.inf)]
+    visited = {(text, True, math.inf)}
     while queue:
-        cost, depth, node = heapq.heappop(queue)
-        if cost + 0.1 * depth < least or node == text:
+        cost, depth, node, may_swap, limit = heapq.heappop(queue)
+        if cost <= limit and cost + 0.1 * depth < least or node == text:
             best, least = (node, cost) if node != text else (best, least)
-        steps = [_utf8_step(node, c) for c in MISREAD]
-        if depth == 0:
-            steps += [_swap_step(node, a, b) for a, b in SWAPPED]
-        for rank, nxt in enumerate(steps):
-            if nxt not in visited:
-                visited.add(nxt)
-                heapq.heappush(queue, (cost_of(nxt, left, right) + 0.001 * rank, depth + 1, nxt))  # commoner code pages first
+        steps = [(_utf8_step(node, c), True, limit) for c in MISREAD]
+        if may_swap:  # a spelling that UTF-8 steps reached is given up for another only by the margin that damage needs
+            after = min(limit, cost_of(node, left, right) - MARGIN) if depth else limit
+            steps += [(_swap_step(node, a, b), False, after) for a, b in SWAPPED]
+        for rank, state in enumerate(steps):
+            if state[0] != node and state not in visited:
+                visited.add(state)
+                heapq.heappush(queue, (cost_of(state[0], left, right) + 0.001 * rank, depth + 1, *state))  # commoner code pages first
     return best, least, start
 
 
@@ -205,13 +212,20 @@ def _unescape(m: re.Match) -> str:
         return s
 
 
+def _unescaped(text: str) -> str:
+    """Text with escapes undone until none is left; every escape is longer than what it stands for, so this ends."""
+    while (plain := ESCAPED.sub(_unescape, text)) != text:
+        text = plain
+    return text
+
+
 def inspect(text: str | None) -> tuple[bool, bool, str | None]:
     """(damaged, fully restored, text with every damaged place in its cheapest spelling)."""
     if not text:
         return False, False, text
     damaged, lost, out, at = False, False, [], 0
     if "&" in text or "\\" in text or "%" in text:
-        plain = ESCAPED.sub(_unescape, text)
+        plain = _unescaped(text)
         if plain != text and not plain.isascii():
             damaged, text = True, plain
     if text.isascii():

@@ -42,6 +42,23 @@ def test_twice_and_partly():
     assert encoding.inspect("The readerís mark isnít here")[2] == "The reader’s mark isn’t here"
 
 
+def test_escapes_behind_escapes():
+    assert encoding.inspect("caf&amp;eacute;") == (True, True, "café")
+    assert encoding.inspect("r&amp;amp;#233;sum\\u0026eacute;") == (True, True, "résumé")
+    assert encoding.inspect("&amp;#195;&amp;copy;t&amp;eacute;")[2] == "été"
+    assert encoding.inspect("A &amp;amp; B") == (False, False, "A &amp;amp; B")
+
+
+@pytest.mark.parametrize(("read_as", "written"), [("mac_roman", "cp1252")])
+@pytest.mark.parametrize("codec", ["cp1252", "mac_roman", "cp437"])
+def test_swaps_after_utf8_steps(read_as, written, codec):
+    for word in ("fièvre légère", "après contrôle"):
+        swapped = word.encode(written).decode(read_as)
+        assert encoding.inspect(swapped.encode("utf-8").decode(codec)) == (True, True, word)
+    lookalikes = "the pleural аnglеs, heart size liеs, seνré"  # Cyrillic and Greek letters stay what they were
+    assert encoding.inspect(f"{lookalikes}, évolutive".encode().decode("cp1252"))[2] == f"{lookalikes}, évolutive"
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(1, "fiÃ¨vre"), (2, None), (3, "ok"), (4, "fiÃ¨vre"), (5, "x" * 100_000 + " Ã©tÃ©")], "id long, text string")
     df = df.selectExpr("1 AS kinds", "2 AS restored", "id", "text")
