@@ -7,7 +7,8 @@
 3. Inside a partition equal keys make candidates.  Equal content collapses to
    its smallest id at once (a star, never all pairs), the rest is compared
    sketch word by sketch word; a pair is dropped as soon as the posterior
-   probability that its similarity reaches the threshold falls below ``epsilon``.
+   probability that its similarity reaches the threshold falls below ``epsilon``
+   and fewer than ``epsilon`` of the pairs at the threshold are lost by it.
 4. Survivors are verified on the exact shingle sets of the whole texts.
 
 Nothing is capped: a crowded band costs comparisons, all of them made in
@@ -36,13 +37,25 @@ BROADCAST_IDS = 1_000_000
 _PACKED = "part int, n int, keys binary, ids binary, content binary, sketch binary"
 
 
+def _loss_mark(p: float, n: int, most: float) -> int:
+    """Largest m such that at most the share ``most`` of binomial counts (n, p) lies below m."""
+    below = 0.0
+    for m in range(n + 1):
+        below += math.comb(n, m) * p**m * (1 - p) ** (n - m)
+        if below > most:
+            return m
+    return n
+
+
 def pass_marks(threshold: float, epsilon: float, bits: int, words_n: int) -> list[int]:
     """Least matching sketch bits after each word for a pair to stay in.
 
     With a uniform prior on the similarity s, a one-bit MinHash agrees with
     probability (1 + s) / 2, so after n bits with m matches the posterior of s is
     proportional to ((1+s)/2)^m ((1-s)/2)^(n-m).  The mark is the smallest m with
-    P(s >= threshold | m, n) >= epsilon.
+    P(s >= threshold | m, n) >= epsilon, lowered where more than epsilon / words_n
+    of the pairs at the threshold lie below it: all marks together lose at most
+    epsilon of those, and less of more similar pairs.
     """
     grid = (np.arange(20_000) + 0.5) / 20_000
     up, down = np.log1p(grid) - math.log(2), np.log1p(-grid) - math.log(2)
@@ -53,7 +66,7 @@ def pass_marks(threshold: float, epsilon: float, bits: int, words_n: int) -> lis
             like = m * up + (n - m) * down
             like = np.exp(like - like.max())
             if like[grid >= threshold].sum() / like.sum() >= epsilon:
-                marks.append(m)
+                marks.append(min(m, _loss_mark((1 + threshold) / 2, n, epsilon / words_n)))
                 break
     return marks
 
@@ -262,7 +275,8 @@ def similar_texts(
     the smallest id among them; every pair of different texts with
     share >= threshold that meets in a band is linked, each through the smallest
     id of its words.  With 25 bands of 4 rows a pair at 0.70 meets with
-    probability 0.9990, at 0.75 with 0.99993; pruning loses less than ``epsilon``.
+    probability 0.9990, at 0.75 with 0.99993; pruning loses at most ``epsilon`` of
+    the pairs at ``threshold`` and less of those above.
 
     Null texts and texts with fewer than max(min_words, width) words have no links.
     Ids must be unique and not null; repeated texts are fine, an empty table gives

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -118,6 +119,15 @@ def test_pass_marks_keep_similar_pairs():
     assert lost.mean() < 2e-3 and marks[0] < marks[1]
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.75, 0.8, 0.9])
+def test_pass_marks_lose_at_most_epsilon(threshold):
+    first, second = neardup.pass_marks(threshold, 1e-4, 64, 2)
+    p = (1 + threshold) / 2
+    chance = [math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(65)]
+    kept = sum(chance[a] * chance[b] for a in range(first, 65) for b in range(65) if a + b >= second)
+    assert 1 - kept <= 1e-4
+
+
 @pytest.mark.parametrize("shard", [3, 5000])
 def test_overlaps(spark, shard):
     rows = list(enumerate(texts(150, 5)))
