@@ -153,6 +153,9 @@ class Decoder:
         enter = max(float((m[:, y] - m[0, 0]).max()) for y in range(1, K))
         leave = max(0.0, float((m[1:, 0] - m[0, 0]).max()))
         self.extra = enter + leave
+        # at a text's first and last token begin and end stand in place of the transitions
+        self.at_first = float((model.begin[1:] - model.begin[0]).max()) - enter
+        self.at_last = max(0.0, float((model.end[1:] - model.end[0]).max())) - leave
         self._reset()
 
     def _reset(self) -> None:
@@ -204,11 +207,14 @@ class Decoder:
         for o, offset in enumerate(OFFSETS):
             lo, hi = max(0, -offset), n - max(0, offset)
             bound[lo:hi] += self.gain[o][kind[lo + offset : hi + offset]]
-        bound[tokens.start < 0] = FAR
+        blank = tokens.start < 0
+        bound[1:][blank[:-1]] += self.at_first
+        bound[:-1][blank[1:]] += self.at_last
+        bound[blank] = FAR
         total = np.r_[0.0, np.cumsum(bound)]
         best_after = np.maximum.accumulate(total[1:][::-1])[::-1]
         worst_before = np.minimum.accumulate(total[:-1])
-        live = best_after - worst_before > 0
+        live = (best_after - worst_before > 0) & ~blank  # a window never leaves its text
         edge = np.flatnonzero(np.diff(np.r_[0, live.astype(np.int8), 0]))
         begin, stop = edge[0::2], edge[1::2]
         if not len(begin):
@@ -242,13 +248,17 @@ class Decoder:
         score[..., 0][~inside] = 0
         move = self.model.move
         first = tokens.start[begin - 1] < 0  # before it lies the edge of the text
+        last = tokens.start[begin + size] < 0
         state = score[:, 0] + np.where(first[:, None], self.model.begin[None], move[0][None])
         back = np.zeros((width, len(begin), K), np.int8)
         for t in range(1, width):
             step = state[:, :, None] + move[None]
+            over = last & (size == t)
+            step[over, :, 0] = state[over] + self.model.end
             back[t] = step.argmax(1)
             state = np.take_along_axis(step, back[t][:, None, :].astype(np.int64), 1)[:, 0] + score[:, t]
-        state = state + move[:, 0][None]  # what follows a window is outside
+        over = last & (size == width)
+        state = state + np.where(over[:, None], self.model.end[None], move[:, 0][None])  # what follows a window is outside, or the edge of the text
         path = np.zeros((len(begin), width), np.int8)
         path[:, -1] = state.argmax(1)
         rows = np.arange(len(begin))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,59 @@ def test_windows_equal_whole_viterbi(model):
     assert fast.find(rows) == slow.find(rows)
 
 
+def _plain_viterbi(decoder, text):
+    """Labels of all tokens of one text by the recursion as written: begin, transitions, end."""
+    tokens = pii.Tokens([text])
+    at = np.flatnonzero(tokens.start >= 0)
+    if not len(at):
+        return []
+    m, score = decoder.model, decoder._scores(decoder.types(tokens), at[:1], len(at))[0]
+    state, back = score[0] + m.begin, []
+    for t in range(1, len(at)):
+        step = state[:, None] + m.move
+        back.append(step.argmax(0))
+        state = step.max(0) + score[t]
+    path = [int((state + m.end).argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def _labels(decoder, text):
+    """Labels of all tokens that the windows leave, seen at the decoder's own paths."""
+    tokens = pii.Tokens([text])
+    live = np.flatnonzero(tokens.start >= 0)
+    begins = {tokens.start[i]: k for k, i in enumerate(live)}
+    ends = {tokens.end[i]: k for k, i in enumerate(live)}
+    out = [0] * len(live)
+    for a, z, kind in decoder.find([text])[0]:
+        k = 2 * pii.KINDS.index(kind)
+        out[begins[a] : ends[z] + 1] = [k + 1] + [k + 2] * (ends[z] - begins[a])
+    return out
+
+
+@pytest.mark.parametrize("pull", [0.0, 3.0, 8.0])
+def test_windows_equal_plain_viterbi_at_the_edges(model, pull):
+    """Learned begin and end weights count at a text's first and last token, also where they are strong."""
+    begin, end = model.begin.copy(), model.end.copy()
+    begin[1::2] += pull
+    end[1:] += pull
+    decoder = pii.Decoder(pii.Model(model.known, model.index, model.weight, model.move, begin, end))
+    rows = [t for t, _ in pii_table.labelled_table(79, 1)][:80]
+    rows += ["Orsolina Wendorlan", "Seen by Orsolina Wendorlan", "0192-555-4433", "call 0192-555-4433", "12", "no fluid", ""]
+    alnum = [t for t in rows if not _odd_start(decoder, t)]
+    assert len(alnum) > 60
+    for text in alnum:
+        assert _labels(decoder, text) == _plain_viterbi(decoder, text), text
+
+
+def _odd_start(decoder, text):
+    """Whether a detail of the plain path begins with a sign, which find() leaves out of it."""
+    tokens = pii.Tokens([text])
+    at = np.flatnonzero(tokens.start >= 0)
+    return any(x and x % 2 and not chr(tokens.points[tokens.start[i]]).isalnum() for x, i in zip(_plain_viterbi(decoder, text), at))
+
+
 def test_placeholders_and_table(spark, model):
     text = "Patient: Orsolina Wendorlan\nTel 0192-555-4433. No fluid."
     found = pii.Decoder(model).find([text])[0]
