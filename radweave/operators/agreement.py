@@ -59,5 +59,5 @@ def _tagged(column: str, kind: str) -> Column:
 def cooccurrence(df: DataFrame, labels: str) -> DataFrame:
     """(label_a, label_b, n): records holding both; pairs are formed inside the row."""
     own = F.array_sort(F.array_distinct(as_list(labels)))
-    pairs = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.lit(1000)), lambda y: F.struct(x.alias("label_a"), y.alias("label_b")))))
+    pairs = F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.size(own)), lambda y: F.struct(x.alias("label_a"), y.alias("label_b")))))
     return df.select(F.explode(pairs).alias("p")).groupBy("p.label_a", "p.label_b").agg(F.count(F.lit(1)).alias("n"))

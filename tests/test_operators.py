@@ -191,6 +191,13 @@ def test_synthetic(spark):
     assert synth.merge(synth.positives(real, 10), synth.hard_negatives(spark, ("A",), 2)).filter("neg_target = ''").count() == 3
 
 
+def test_cooccurrence_of_many_labels(spark):
+    df = spark.createDataFrame([(",".join(f"L{i:04d}" for i in range(1_003)),)], "labels string")
+    pairs = agreement.cooccurrence(df, "labels")
+    assert pairs.count() == 1_003 * 1_002 // 2
+    assert pairs.filter("label_a = 'L0000' and label_b in ('L1001', 'L1002')").count() == 2
+
+
 def test_rare_positives_do_the_whole_job(spark):
     from radweave.operators import templates as T
 
