@@ -122,6 +122,34 @@ def hard_negatives(spark: SparkSession, labels: tuple[str, ...], per_label: int
     )
 
 
+def _replace_first(text: Column, old: Column, new: Column) -> Column:
+    at = F.position(old, text)
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(old)))).otherwise(text)
+
+
+def varied_negatives(spark: SparkSession, per_label: int = 15) -> DataFrame:
+    """(study_id, report_text, gold_labels, is_synthetic, neg_target): every label's own templates in turn, with their gold labels.
+
+    A drawn header, 0 to 2 drawn wordings among those that occur in the text, and with 30 in 100 a blank line after the header.
+    """
+    labels = list(dict.fromkeys(x for x, _, _ in T.HARD_NEGATIVES))
+    rows = [(k, x, [(g, t) for y, g, t in T.HARD_NEGATIVES if y == x]) for k, x in enumerate(labels)]
+    base = spark.createDataFrame(rows, "k long, label string, options array<struct<gold: string, text: string>>")
+    each = base.select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per_label - 1).cast("long"))).alias("i"), "k", "options")
+    each = each.withColumn("n", F.col("k") * per_label + F.col("i")).withColumn("t", F.element_at("options", (F.col("i") % F.size("options") + 1).cast("int")))
+    n, text = F.col("n"), F.col("t.text")
+    header = _drawn(_array(T.NEGATIVE_HEADERS), n, "header")
+    own = F.element_at(F.filter(_array((*T.NEGATIVE_HEADERS, "")), lambda h: F.contains(F.col("t.text"), h)), 1)
+    each = each.withColumn("x", F.when(own == "", text).otherwise(_replace_first(text, own, header)))
+    swaps = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in T.NEGATIVE_SWAPS])
+    fitting = F.filter(swaps, lambda s: F.contains(F.col("x"), s["old"]))
+    keyed = F.array_sort(F.transform(fitting, lambda s: F.struct(F.md5(F.concat_ws(":", n.cast("string"), F.lit("swap"), s["old"])).alias("h"), s.alias("s"))))
+    each = each.withColumn("swaps", F.slice(keyed, F.lit(1), _draw(n, "swaps", 3)))
+    each = each.withColumn("x", F.aggregate("swaps", F.col("x"), lambda x, w: _replace_first(x, w["s"]["old"], w["s"]["new"])))
+    gap = F.when(_draw(n, "gap", 100) < 30, _replace_first(F.col("x"), F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("x"))
+    return each.select(F.format_string("hardneg_%05d", n + 90_001).alias("study_id"), gap.alias("report_text"), F.col("t.gold").alias("gold_labels"), F.lit(True).alias("is_synthetic"), F.col("label").alias("neg_target"))
+
+
 def merge(*parts: DataFrame) -> DataFrame:
     """Union of corpora by column name; a missing neg_target is empty."""
     out = parts[0]

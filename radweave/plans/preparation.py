@@ -157,6 +157,11 @@ def hard_negative_reports(spark: SparkSession, folder: str) -> DataFrame:
     return synth.hard_negatives(spark, C.LABELS[:12])
 
 
+def varied_negative_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives from every label's own templates, with the gold labels of the template."""
+    return synth.varied_negatives(spark)
+
+
 def merged_training(spark: SparkSession, folder: str) -> DataFrame:
     """Real, synthetic and hard-negative rows in one corpus, counted by origin and target."""
     real = table(spark, folder, "annotated_reports").select("study_id", "report_text", "gold_labels")
@@ -226,7 +231,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             file_validation, study_validation, dataset_validation, primary_images, hashed_ids, shifted_dates, redacted_reports, cleaned_reports, deidentified_headers, deidentification_outcomes, normalised_vectors,
-            padded_images, qc_sample, stratified_sample, prefill_links, reorganised_studies, excluded_studies, kept_studies, synthetic_reports, rare_label_reports, hard_negative_reports, merged_training,
+            padded_images, qc_sample, stratified_sample, prefill_links, reorganised_studies, excluded_studies, kept_studies, synthetic_reports, rare_label_reports, hard_negative_reports, varied_negative_reports, merged_training,
             report_spans, resolved_spans, weak_labels, guarded_labels, csv_round_trip, json_round_trip, streamed_labels, resumed_reports,
         )
     }

@@ -191,6 +191,21 @@ def test_synthetic(spark):
     assert synth.merge(synth.positives(real, 10), synth.hard_negatives(spark, ("A",), 2)).filter("neg_target = ''").count() == 3
 
 
+def test_varied_negatives(spark):
+    from radweave.operators import templates as T
+
+    rows = synth.varied_negatives(spark).orderBy("study_id").collect()
+    assert len(rows) == 180 and len({r.study_id for r in rows}) == 180 and rows[0].study_id == "hardneg_90001"
+    assert len({r.neg_target for r in rows}) == 12 and "Other Significant Abnormality" not in {r.neg_target for r in rows}
+    for k, r in enumerate(rows):
+        own = [(g, t) for x, g, t in T.HARD_NEGATIVES if x == r.neg_target]
+        gold, text = own[k % 15 % len(own)]
+        assert r.gold_labels == gold and abs(len(r.report_text) - len(text)) < 90
+        assert r.report_text.split("\n")[0].removeprefix("AP ") in T.NEGATIVE_HEADERS  # the surveyed swap leaves an AP in front
+    assert len({r.report_text for r in rows}) > 120 and any(r.gold_labels != "Normal" for r in rows)
+    assert 30 < sum("\n\n" in r.report_text for r in rows) < 80
+
+
 def test_cooccurrence_of_many_labels(spark):
     df = spark.createDataFrame([(",".join(f"L{i:04d}" for i in range(1_003)),)], "labels string")
     pairs = agreement.cooccurrence(df, "labels")
