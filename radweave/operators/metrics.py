@@ -120,11 +120,17 @@ def _f1(tp: Column, n: Column) -> Column:
     return F.when(n + F.col("P") > 0, 2.0 * tp / (n + F.col("P"))).otherwise(0.0)
 
 
-def losses(grid: DataFrame, gamma: float = 2.0, floor: float = 1e-6) -> DataFrame:
-    """Mean binary cross-entropy and focal loss per label; probabilities are kept off 0 and 1 by ``floor``."""
+def losses(grid: DataFrame, gamma: float = 2.0, floor: float = 1e-6, weights: DataFrame | None = None) -> DataFrame:
+    """Mean binary cross-entropy and focal loss per label; probabilities are kept off 0 and 1 by ``floor``.
+
+    ``weights`` has (label, weight): positives count by their label's weight, by 1 where it has none.
+    """
     p = F.greatest(F.lit(floor), F.least(F.lit(1.0 - floor), F.col("prob")))
     right = F.when(F.col("y") == 1, p).otherwise(1.0 - p)
     bce = -F.log(right)
+    if weights is not None:
+        grid = grid.join(F.broadcast(weights.select("label", "weight")), "label", "left")
+        bce = bce * F.when(F.col("y") == 1, F.coalesce("weight", F.lit(1.0))).otherwise(1.0)
     return grid.groupBy("label").agg(F.avg(bce).alias("bce"), F.avg(F.pow(1.0 - right, gamma) * bce).alias("focal"))
 
 

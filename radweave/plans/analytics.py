@@ -228,6 +228,12 @@ def label_losses(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.losses(_grid(spark, folder)).select("label", F.round("bce", 6).alias("bce"), F.round("focal", 6).alias("focal"))
 
 
+def weighted_label_losses(spark: SparkSession, folder: str) -> DataFrame:
+    """The losses with every positive counted by its label's class weight."""
+    weights = metrics.class_weights(metrics.multi_hot(table(spark, folder, "annotated_reports"), "rec_id"))
+    return metrics.losses(_grid(spark, folder), weights=weights).select("label", F.round("bce", 6).alias("bce"), F.round("focal", 6).alias("focal"))
+
+
 def fold_split(spark: SparkSession, folder: str) -> DataFrame:
     """Fold of every real training row; synthetic ones train in all folds (fold -1)."""
     t = table(spark, folder, "training_reports_augmented")
@@ -241,7 +247,7 @@ def queries() -> dict:
             label_distribution, multi_label_stats, confidence_distribution, disagreement_stats, label_cooccurrence, policy_decisions, method_agreement, quality_dashboard, compiled_reports,
             review_triage, compiled_join, unprocessed_studies, annotated_predictions, priority_shares, source_aggregates, distinct_studies, corpus_union, label_set_ops, labels_long,
             score_pivot, top_disagreements, gold_multi_hot, class_weights, metric_labels, metric_averages, metric_exact, metric_curves, metric_macro_curves, tuned_thresholds, fold_thresholds,
-            method_comparison, normal_stats, label_losses, fold_split,
+            method_comparison, normal_stats, label_losses, weighted_label_losses, fold_split,
         )
     }
 

@@ -86,6 +86,16 @@ def test_confusion_losses_and_exact(spark):
     assert metrics.curve(df.limit(0)).count() == 0 and metrics.tune(df.limit(0)).count() == 0
 
 
+def test_weighted_losses(spark):
+    rows, df = grid(spark, 100)
+    weights = spark.createDataFrame([("a", 3.0), ("b", 50.0), ("c", 1.0)], "label string, weight double")
+    loss = {r.label: r for r in metrics.losses(df, weights=weights).collect()}
+    for label, w in (("a", 3.0), ("b", 50.0), ("c", 1.0), ("d", 1.0)):
+        own = [(w if y else 1.0, min(1 - 1e-6, max(1e-6, p)) if y else 1 - min(1 - 1e-6, max(1e-6, p))) for _, x, y, p in rows if x == label]
+        assert loss[label].bce == pytest.approx(np.mean([v * -math.log(q) for v, q in own]))
+        assert loss[label].focal == pytest.approx(np.mean([v * (1 - q) ** 2 * -math.log(q) for v, q in own]))
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(1, "Cardiomegaly, Atelectasis"), (2, None), (3, "nan"), (4, " Normal ")], "rec_id long, gold_labels string")
     hot = metrics.multi_hot(df, "rec_id")
