@@ -13,25 +13,34 @@ Viterbi runs only on the remaining windows, batched by length.  The result
 equals Viterbi over whole texts.
 
 The model is trained on ``pii_table.labelled_table`` by minibatch gradient on the exact
-conditional likelihood, once per process.
+conditional likelihood; the fitted weights are kept in the shared folder under a digest of the table,
+the code and the vocabularies, so other sessions read them.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import io
+import json
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radweave.llm import words
+from radweave.llm import pii_table, words
 from radweave.llm.canonical import canonical
 from radweave.llm.pii_table import labelled_table
+from radweave.scratch import shared_root
 
 KINDS = ("name", "phone", "email", "id_number", "address")
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 K = len(LABELS)
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
@@ -91,7 +100,39 @@ def _shape(token: str) -> str:
     return "".join(out)
 
 
-def features(token: str, known: frozenset | None) -> list[str]:
+ENDINGS = ("s", "es", "ed", "d", "ing", "ly", "al", "y", "er", "ous", "ive", "ion", "ness", "less")
+
+
+class Vocabulary:
+    """Whole words of public tokenizers' vocabularies: how common a word is in small letters, and whether only with a capital."""
+
+    def __init__(self, paths: Sequence[str]):
+        self.small: dict[str, int] = {}
+        capital: set[str] = set()
+        for path in paths:
+            for line in Path(path).read_bytes().splitlines():
+                piece, rank = line.split()
+                try:
+                    word = base64.b64decode(piece).decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if word[:1] == " " and len(word) > 2 and word[1:].isalpha():
+                    if word.islower():
+                        self.small.setdefault(word[1:], int(rank))
+                    elif word[1:].istitle():
+                        capital.add(word[1:].lower())
+        self.capital = frozenset(w for w in capital if w not in self.small and len(w) > 3)
+
+    def of(self, low: str) -> str:
+        rank = self.small.get(low)
+        if rank is not None:
+            return "often" if rank < 8_000 else "known" if rank < 25_000 else "seldom"
+        if low in self.capital:
+            return "proper"
+        return "derived" if any(low.endswith(e) and low[: -len(e)] in self.small and len(low) - len(e) > 3 for e in ENDINGS) else "foreign"
+
+
+def features(token: str, known: frozenset | None, vocabulary: Vocabulary) -> list[str]:
     """Word-shape features of one token type; spellings only of words in ``known``."""
     if token == "":
         return ["edge"]
@@ -105,7 +146,8 @@ def features(token: str, known: frozenset | None) -> list[str]:
     if not token[:1].isalpha():
         return [f"sign={token}"]
     shape = _shape(token)
-    out = ["word", f"shape={shape}", f"len={min(len(low), 9)}"]
+    common = vocabulary.of(low)
+    out = ["word", f"shape={shape}", f"len={min(len(low), 9)}", common, f"{common}{shape[:2]}"]
     if known is None or low in known:
         out.append(f"w={low}")
     else:
@@ -118,12 +160,12 @@ def features(token: str, known: frozenset | None) -> list[str]:
 class Model:
     """Weights per feature and offset, transitions, and the per-type tables grown as types appear."""
 
-    def __init__(self, known: frozenset, index: dict[str, int], weight: np.ndarray, move: np.ndarray, begin: np.ndarray, end: np.ndarray):
-        self.known, self.index, self.weight, self.move, self.begin, self.end = known, index, weight, move, begin, end
+    def __init__(self, known: frozenset, vocabulary: Vocabulary, index: dict[str, int], weight: np.ndarray, move: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        self.known, self.vocabulary, self.index, self.weight, self.move, self.begin, self.end = known, vocabulary, index, weight, move, begin, end
 
     def row(self, token: str) -> np.ndarray:
         """Scores [offset, label] that a token of this type adds to its neighbours."""
-        f = [self.index[x] for x in features(token, self.known) if x in self.index]
+        f = [self.index[x] for x in features(token, self.known, self.vocabulary) if x in self.index]
         return self.weight[:, f].sum(1) if f else np.zeros((len(OFFSETS), K), np.float32)
 
 
@@ -303,9 +345,13 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 @cache
-def train(seed: int = 3, copies: int = 20, passes: int = 8, rate: float = 0.2, decay: float = 2e-4) -> Model:
-    """Fit the field on the labelled table (about 4,900 short texts; the bound is ``copies``)."""
-    rows = labelled_table(seed, copies)
+def train(seed: int = 3, copies: int = 48, passes: int = 6, rate: float = 0.2, decay: float = 2e-4, lean: tuple[float, ...] = (0.8, 1.2, 0.8, 1.8, 1.8), vocabularies: tuple[str, ...] = VOCABULARIES) -> Model:
+    """Fit the field on the labelled table (about 8,000 short texts; the bound is ``copies``).
+
+    ``lean``, by kind, is added to every entry into a detail: one overlooked costs more than a word too many.
+    """
+    vocabulary = Vocabulary(vocabularies)
+    rows = labelled_table(seed, copies, tuple(sorted(w for w in vocabulary.small if len(w) > 2)), tuple(sorted(w.capitalize() for w in vocabulary.capital)))
     counts: dict[str, int] = {}
     for text, spans in rows:
         hidden = [False] * len(text)
@@ -326,7 +372,7 @@ def train(seed: int = 3, copies: int = 20, passes: int = 8, rate: float = 0.2, d
     for k, token in enumerate(spelled):
         if token not in types:
             types[token] = len(type_features)
-            type_features.append([index.setdefault(f, len(index)) for f in features(token, known)])
+            type_features.append([index.setdefault(f, len(index)) for f in features(token, known, vocabulary)])
         kind[k] = types[token]
     y = _gold(tokens, spans)
     most = max(map(len, type_features))
@@ -348,7 +394,8 @@ def train(seed: int = 3, copies: int = 20, passes: int = 8, rate: float = 0.2, d
     lengths = hi - lo
     rng = np.random.default_rng(seed)
     usable = np.flatnonzero(lengths > 0)
-    for _ in range(passes):
+    mean, n_mean = [np.zeros_like(v, dtype=np.float64) for v in (weight, move, begin, end)], 0
+    for at in range(passes):
         order = usable[np.argsort(lengths[usable] + rng.random(len(usable)) * 6)]
         chunks = [order[k : k + 48] for k in range(0, len(order), 48)]
         for c in rng.permutation(len(chunks)):
@@ -394,7 +441,50 @@ def train(seed: int = 3, copies: int = 20, passes: int = 8, rate: float = 0.2, d
                 step = step / n + decay * value * (np.abs(value) < 1e3)
                 sped += step * step
                 value -= rate * step / np.sqrt(sped) * (np.abs(value) < 1e3)
-    return Model(known, index, weight[:, :-1], move, begin, end)
+            if 2 * at >= passes:
+                n_mean += 1
+                for total, value in zip(mean, (weight, move, begin, end)):
+                    total += value
+    weight, move, begin, end = ((total / n_mean).astype(np.float32) for total in mean)  # the mean over the second half is steadier
+    move[0, 1::2] += np.array(lean, np.float32)
+    begin[1::2] += np.array(lean, np.float32)
+    return Model(known, vocabulary, index, weight[:, :-1], move, begin, end)
+
+
+def to_bytes(model: Model) -> bytes:
+    """The fitted weights as one archive, without the vocabulary."""
+    names = json.dumps({"known": sorted(model.known), "features": sorted(model.index, key=model.index.__getitem__)})
+    out = io.BytesIO()
+    np.savez_compressed(out, names=np.frombuffer(names.encode(), np.uint8), weight=model.weight, move=model.move, begin=model.begin, end=model.end)
+    return out.getvalue()
+
+
+def from_bytes(raw: bytes, vocabulary: Vocabulary) -> Model:
+    kept = np.load(io.BytesIO(raw))
+    names = json.loads(kept["names"].tobytes())
+    return Model(frozenset(names["known"]), vocabulary, {f: k for k, f in enumerate(names["features"])}, kept["weight"], kept["move"], kept["begin"], kept["end"])
+
+
+@cache
+def _digest(vocabularies: tuple[str, ...]) -> str:
+    sources = [Path(p).read_bytes() for p in vocabularies] + [Path(m).read_bytes() for m in (__file__, pii_table.__file__)]
+    return hashlib.sha256(b"".join(sources)).hexdigest()[:24]
+
+
+def fitted(spark: SparkSession, vocabularies: tuple[str, ...] = VOCABULARIES) -> Model:
+    """The model of ``train``, from the shared folder if a session has left it there, else trained and left there."""
+    fs, root = pafs.FileSystem.from_uri(shared_root(spark))
+    path = f"{root}/radweave-models/pii-{_digest(vocabularies)}.npz"
+    if fs.get_file_info(path).type == pafs.FileType.File:
+        with fs.open_input_stream(path) as f:
+            return from_bytes(f.read(), Vocabulary(vocabularies))
+    model = train(vocabularies=vocabularies)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    partial = f"{path}.{hashlib.sha256(str(id(spark)).encode()).hexdigest()[:8]}"
+    with fs.open_output_stream(partial) as f:
+        f.write(to_bytes(model))
+    fs.move(partial, path)
+    return model
 
 
 def placeholder(text: str, spans: Sequence[tuple[int, int, str]]) -> str:
@@ -437,7 +527,7 @@ def find_details(texts: DataFrame, model: Model | None = None) -> DataFrame:
     """(id, kind, start_at, end_at) of every detail in ``texts`` (id bigint, text string), positions in code points.
 
     Null and empty texts have none; repeated rows each give theirs; other columns are ignored. The model is
-    broadcast (under 2 MB).
+    broadcast (about 2 MB with its vocabulary, whatever the input).
     """
     return _mapped(texts, model, False, "id long, kind string, start_at int, end_at int")
 
@@ -448,6 +538,6 @@ def redacted(texts: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def _mapped(texts: DataFrame, model: Model | None, with_text: bool, kind: str) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast(model or train())
+    sent = texts.sparkSession.sparkContext.broadcast(model or fitted(texts.sparkSession))
     own = texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(details(sent, with_text), kind)
