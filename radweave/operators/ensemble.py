@@ -29,16 +29,22 @@ def _score_of(label: str) -> Column:
 
 
 def decisions(
-    reports: DataFrame, averages: DataFrame, threshold: float | dict = 0.5, rule_threshold: float = 0.55, weak: float = 0.3, high: float = 0.80, rare_high: float = 0.85, suppress_at: float = 0.70
-) -> DataFrame:
+    reports: DataFrame, averages: DataFrame, threshold: float | dict = 0.5, rule_threshold: float = 0.55, weak: float = 0.3, high: float = 0.80, rare_high: float = 0.85, suppress_at: float = 0.70,
+    lost: str = "ANON", carry: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per report and label: flags, scores, inclusion, confidence and, where the sources differ, decision and reason.
 
     ``reports`` has rec_id, study_id, a text column already turned into ``results`` and ``has_normal_phrase``
     by the rule operator, and ``blank``; ``averages`` comes from ``scores.fold_average``.  The one
     join is on the study; the thirteen labels are unfolded inside the row.  A blank report has no
-    detections and full confidence; a study without scores has probability 0 everywhere.
+    detections and full confidence; a study without scores has probability 0 everywhere.  ``lost`` stands for
+    studies whose id is gone: their reports count as unscored, and their many rows spread over all tasks
+    under keys of their own.  ``carry`` names further columns to keep.
     """
-    joined = reports.join(averages, "study_id", "left")
+    gone = F.coalesce(F.col("study_id") == lost, F.lit(True))
+    key = F.when(gone, F.concat_ws(":", F.lit(lost), F.col("rec_id").cast("string"))).otherwise(F.col("study_id"))
+    scored = averages.filter(F.col("study_id") != lost).withColumnRenamed("study_id", "__key")
+    joined = reports.withColumn("__key", key).join(scored, "__key", "left").drop("__key")
     normal = F.col("normal_prob")
     active = F.coalesce(normal >= suppress_at, F.lit(False)) & ~F.col("blank")
     rows = []
@@ -52,8 +58,8 @@ def decisions(
                 (~F.col("blank") & (prob >= cut)).alias("bert_detected"), prob.alias("bert_prob"), F.coalesce(score, F.lit(0.0)).alias("rb_score"),
             )
         )
-    base = once(joined, active=active, cells=F.array(*rows)).select("rec_id", "study_id", "blank", "has_normal_phrase", "n_folds", "normal_prob", "active", F.explode("cells").alias("c"))
-    base = base.select("rec_id", "study_id", "blank", "has_normal_phrase", "n_folds", "normal_prob", "active", "c.*")
+    base = once(joined, active=active, cells=F.array(*rows)).select("rec_id", "study_id", "blank", "has_normal_phrase", "n_folds", "normal_prob", "active", *carry, F.explode("cells").alias("c"))
+    base = base.select("rec_id", "study_id", "blank", "has_normal_phrase", "n_folds", "normal_prob", "active", *carry, "c.*")
     rb, model, p = F.col("rb_detected"), F.col("bert_detected"), F.col("bert_prob")
     policy, on = F.col("policy"), F.col("active")
     differ = rb != model
@@ -100,20 +106,28 @@ def disagreements(cells: DataFrame) -> DataFrame:
     )
 
 
-def summary(cells: DataFrame) -> DataFrame:
-    """One row per report: label lists, counts and flags."""
+def _summary_aggregates() -> list[Column]:
     names = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c), F.col("label")))), ",")
-    wide = cells.groupBy("rec_id", "study_id").agg(
+    return [
         names("included").alias("final"), names("rb_detected").alias("rb"), names("bert_detected").alias("bert"),
         F.count_if("included").alias("num_labels"), F.count_if("rb_detected").alias("rb_count"), F.count_if("bert_detected").alias("bert_count"),
         F.count_if(F.col("decision").isNotNull()).alias("disagreement_count"), F.max("has_normal_phrase").alias("has_normal_phrase"),
         F.max(F.when(F.col("blank"), 0).otherwise(F.coalesce("n_folds", F.lit(0)))).alias("n_bert_folds"), F.max(F.when(~F.col("blank"), four("normal_prob"))).alias("normal_prob"), F.max("active").alias("normal_suppression_active"),
-    )
+    ]
+
+
+def _summary_columns() -> list[Column]:
     plain = lambda c: F.when(F.col(c) == "", "Normal").otherwise(F.col(c))
-    return wide.select(
-        "rec_id", "study_id", plain("final").alias("final_labels"), "num_labels", (F.col("num_labels") == 0).alias("is_normal"), plain("rb").alias("rb_labels_str"),
-        plain("bert").alias("bert_labels_str"), "rb_count", "bert_count", "disagreement_count", "has_normal_phrase", "n_bert_folds", "normal_prob", "normal_suppression_active",
-    )
+    kept = ("rb_count", "bert_count", "disagreement_count", "has_normal_phrase", "n_bert_folds", "normal_prob", "normal_suppression_active")
+    return [
+        plain("final").alias("final_labels"), F.col("num_labels"), (F.col("num_labels") == 0).alias("is_normal"), plain("rb").alias("rb_labels_str"),
+        plain("bert").alias("bert_labels_str"), *(F.col(c) for c in kept),
+    ]
+
+
+def summary(cells: DataFrame) -> DataFrame:
+    """One row per report: label lists, counts and flags."""
+    return cells.groupBy("rec_id", "study_id").agg(*_summary_aggregates()).select("rec_id", "study_id", *_summary_columns())
 
 
 def short_name(label: str) -> str:
@@ -121,8 +135,7 @@ def short_name(label: str) -> str:
     return label.replace(" / ", "_").replace(" ", "_")
 
 
-def wide_record(cells: DataFrame) -> DataFrame:
-    """Five columns per label and report: pred, conf, rb_pred, bert_pred and bert_prob, as conditional aggregates over one shuffle."""
+def _wide_aggregates() -> list[Column]:
     columns = []
     for label in C.LABELS:
         own, s = F.col("label") == label, short_name(label)
@@ -130,7 +143,20 @@ def wide_record(cells: DataFrame) -> DataFrame:
             F.max(F.when(own, F.col("included").cast("int"))).alias(f"pred_{s}"), F.max(F.when(own, F.col("confidence"))).alias(f"conf_{s}"), F.max(F.when(own, F.col("rb_detected").cast("int"))).alias(f"rb_pred_{s}"),
             F.max(F.when(own, F.col("bert_detected").cast("int"))).alias(f"bert_pred_{s}"), F.max(F.when(own, four("bert_prob"))).alias(f"bert_prob_{s}"),
         ]
-    return cells.groupBy("rec_id").agg(*columns)
+    return columns
+
+
+def wide_record(cells: DataFrame) -> DataFrame:
+    """Five columns per label and report: pred, conf, rb_pred, bert_pred and bert_prob, as conditional aggregates over one shuffle."""
+    return cells.groupBy("rec_id").agg(*_wide_aggregates())
+
+
+def full_record(cells: DataFrame, *carried: str) -> DataFrame:
+    """Summary, per-label columns and the ``carried`` columns of every report, from one aggregation."""
+    own = [F.first(c).alias(c) for c in carried]
+    wide = cells.groupBy("rec_id", "study_id").agg(*_summary_aggregates(), *_wide_aggregates(), *own)
+    named = [c for c in wide.columns if c.startswith(("pred_", "conf_", "rb_pred_", "bert_pred_", "bert_prob_"))]
+    return wide.select("rec_id", "study_id", *_summary_columns(), *named, *carried)
 
 
 def union_vote(rules: Column, other: Column) -> Column:

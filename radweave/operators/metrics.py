@@ -10,8 +10,8 @@ from radweave.functions.constants import LABELS
 from radweave.functions.text import strip
 from radweave.operators.scores import fold_average
 
-#: Thresholds tried by tuning, in hundredths.
-GRID = tuple(range(10, 91, 5))
+#: Thresholds tried by tuning: steps added as floats, so the third is a hair above 0.15, as surveyed.
+GRID = tuple(0.1 + i * 0.05 for i in range(17))
 
 
 def gold_array(gold: Column) -> Column:
@@ -100,9 +100,8 @@ def tune(grid: DataFrame, *keys: str) -> DataFrame:
     Rows are first counted by the number of thresholds they reach: at most 18 groups per label
     leave a task, then cumulative counts over those groups give every threshold's F1.
     """
-    cents = F.floor(F.col("prob") * 100 + 1e-9)
-    reached = F.greatest(F.lit(0), F.least(F.lit(len(GRID)), F.floor((cents - GRID[0]) / 5) + 1)).cast("int")
-    by = grid.withColumn("k", F.when(cents < GRID[0], 0).otherwise(reached)).groupBy("label", *keys, "k").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    reached = F.size(F.filter(F.array(*[F.lit(t) for t in GRID]), lambda t: F.col("prob") >= t))
+    by = grid.withColumn("k", reached).groupBy("label", *keys, "k").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
     sums = by.groupBy("label", *keys).agg(F.sum("pos").alias("P"), F.map_from_entries(F.collect_list(F.struct("k", F.struct("pos", "n")))).alias("m"))
     at = [
         F.struct(
@@ -112,7 +111,7 @@ def tune(grid: DataFrame, *keys: str) -> DataFrame:
         for i, t in enumerate(GRID)
     ]
     best = sums.withColumn("best", F.array_max(F.array(*at)))
-    return best.select("label", *keys, F.when((F.col("P") == 0) | (F.col("best.f1") <= 0), 0.5).otherwise(-F.col("best.minus") / 100.0).alias("threshold"))
+    return best.select("label", *keys, F.when((F.col("P") == 0) | (F.col("best.f1") <= 0), 0.5).otherwise(F.round(-F.col("best.minus"), 2)).alias("threshold"))
 
 
 def _f1(tp: Column, n: Column) -> Column:

@@ -33,6 +33,9 @@ class Lexicon:
             raise ValueError(f"more than {MAX_PHRASES} phrases; match such a lexicon by a join on words")
         kept = [r for r in rows if r["phrase"] and r["phrase"].strip()]
         self.normal = [r["phrase"].lower() for r in kept if r["label"] == "Normal"]
+        #: Distinct stripped phrases of every finding label, longest first: what the span finder looks for.
+        found = sorted({(r["label_idx"], r["label"], r["phrase"].strip()) for r in kept if r["label"] != "Normal"}, key=lambda x: (x[0], -len(x[2]), x[2]))
+        self.spans = [{"label": label, "phrase": phrase, "low": phrase.lower()} for _, label, phrase in found]
         self.entries = [
             {
                 "label_idx": r["label_idx"], "label": r["label"], "phrase_idx": r["phrase_idx"], "phrase": r["phrase"], "match": r["phrase"].lower().strip().replace("_", " "),
@@ -42,6 +45,10 @@ class Lexicon:
             if r["label"] != "Normal" and not (r["label"] == "Cardiomegaly" and r["phrase"].lower().strip() in C.RATIO_PHRASES)
         ]
 
+    def span_column(self) -> Column:
+        """The phrases of ``spans`` as a constant array column."""
+        return F.from_json(F.lit(json.dumps(self.spans, ensure_ascii=False)), "array<struct<label:string,phrase:string,low:string>>")
+
     def column(self) -> Column:
         """The entries as a constant array column."""
         return F.from_json(F.lit(json.dumps(self.entries, ensure_ascii=False)), _PHRASE)

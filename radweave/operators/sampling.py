@@ -16,6 +16,8 @@ def draw(key: Column, seed: str = "42") -> Column:
 
 def fixed_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
     """The n records first in drawn order with their place 1..n; an error if there are fewer. A distributed top-k."""
+    if df.limit(n).count() < n:
+        raise ValueError(f"fewer than {n} records to sample from")
     top = df.withColumn("draw", draw(F.col(key), seed)).orderBy("draw", key).limit(n)
     out = top.withColumn("sample_no", F.row_number().over(W.orderBy("draw", key)))  # n rows at most
     return out.drop("draw")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,45 +20,37 @@ GUARDS = {
 _EDGE = "[A-Za-z0-9]"
 
 
-def span_pattern(phrase: str) -> str:
-    """Pattern of a phrase: an underscore also matches runs of blanks; no letter or digit touches either end."""
-    body = "[_\\s]+".join("\\Q" + p + "\\E" for p in phrase.split("_")) if phrase else ""
-    return f"(?i)(?<!{_EDGE}){body}(?!{_EDGE})"
+def span_pattern(phrase: Column) -> Column:
+    """Pattern of a phrase as it stands, underscores included, in any case; no letter or digit touches either end."""
+    return F.concat(F.lit(f"(?i)(?<!{_EDGE})\\Q"), phrase, F.lit(f"\\E(?!{_EDGE})"))
 
 
-def _starts(text: Column, pattern: str) -> Column:
-    """Structs (start, end) of all matches of a constant pattern."""
-    parts = F.split(text, pattern, -1)
+def _starts(text: Column, phrase: Column) -> Column:
+    """0-based starts of all matches: they have the phrase's length, so one split gives every place."""
+    size = F.length(phrase)
 
-    def walk(found: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-            lambda a, x: F.struct((a["at"] + x["p"] + x["m"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["p"]).alias("start"), (a["at"] + x["p"] + x["m"]).alias("end"))).alias("out")),
+    def walk(parts: Column) -> Column:
+        found = F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, p: F.struct((a["at"] + F.length(p) + size).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out")),
             lambda a: a["out"],
         )
+        return F.slice(found, F.lit(1), F.size(parts) - 1)
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)
+    return let(F.split(text, span_pattern(phrase), -1), walk)
 
 
 def with_spans(df: DataFrame, lexicon: Lexicon, text: str = "report_text", out: str = "spans") -> DataFrame:
-    """Adds ``out``: all (start, end, label) of the lexicon's phrases, each distinct phrase of a label once, longest first."""
-    seen, parts = set(), []
-    for e in sorted(lexicon.entries, key=lambda e: (e["label_idx"], -len(e["phrase"].strip()), e["phrase_idx"])):
-        key = (e["label"], e["phrase"].strip())
-        if key in seen:
-            continue
-        seen.add(key)
-        label, plain = e["label"], e["phrase"].strip().split("_")[0].lower()
-        hit = F.transform(_starts(F.col("__t"), span_pattern(key[1])), _labelled(label))
-        parts.append(F.when(F.contains(F.col("__l"), F.lit(plain)), hit).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>")))
+    """Adds ``out``: all (start, end, label) of the lexicon's phrases, each distinct phrase of a label once, longest first.
+
+    Only phrases that the lower-cased text contains are searched for by pattern.
+    """
     df = once(df, __t=F.coalesce(F.col(text), F.lit("")))
     df = once(df, __l=F.lower("__t"))
-    return once(df, **{out: F.array_distinct(F.flatten(F.array(*parts)))}).drop("__t", "__l")
-
-
-def _labelled(label: str):
-    return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"))
+    usable = F.filter(lexicon.span_column(), lambda p: F.contains(F.col("__l"), p["low"]))
+    each = F.transform(usable, lambda p: F.transform(_starts(F.col("__t"), p["phrase"]), lambda at: F.struct(at.alias("start"), (at + F.length(p["phrase"])).alias("end"), p["label"].alias("label"))))
+    return once(df, **{out: F.array_distinct(F.flatten(each))}).drop("__t", "__l")
 
 
 def without_overlaps(spans: Column) -> Column:
@@ -86,9 +80,41 @@ def clean_gold(gold: Column) -> Column:
     return F.filter(F.transform(fix, lambda x: F.when(F.lower(x) == "other significantt abnormality", "Other Significant Abnormality").otherwise(x)), lambda x: x != "")
 
 
-def weak_labels(df: DataFrame, lexicon: Lexicon, labels: list[str], text: str = "report_text", gold: str = "gold_labels", need_span: bool = True) -> DataFrame:
-    """Training rows for a span model: non-overlapping spans of the gold labels; blank, Normal-only and unlabelled reports drop out."""
+def enough_examples(examples: DataFrame, least: int = 10) -> DataFrame:
+    """The examples, or an error if there are fewer than ``least``."""
+    if examples.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} weakly labelled examples")
+    return examples
+
+
+def weak_labels(df: DataFrame, lexicon: Lexicon, labels: list[str], text: str = "report_text", gold: str = "gold_labels", need_span: bool = True, most: int | None = None, key: str = "rec_id") -> DataFrame:
+    """Training rows for a span model: non-overlapping spans of the gold labels; blank, Normal-only and unlabelled reports drop out.
+
+    ``most`` keeps the first examples by ``key``, where a model is to see a bounded number of them.
+    """
     known = F.filter(clean_gold(F.col(gold)), lambda x: x.isin(labels))
     df = with_spans(df.filter(~is_blank(F.col(text))).withColumn("allowed", known).filter(F.size("allowed") > 0), lexicon, text)
     df = once(df, kept=without_overlaps(F.filter("spans", lambda s: F.array_contains(F.col("allowed"), s["label"]))))
-    return df.filter(F.size("kept") > 0) if need_span else df
+    df = df.filter(F.size("kept") > 0) if need_span else df
+    return df if most is None else df.orderBy(key).limit(most)
+
+
+def ruled_spans(df: DataFrame, patterns: dict[str, list[str]], text: str = "report_text", out: str = "entities") -> DataFrame:
+    """Adds ``out``: (start, end, label) of phrases found as exact runs of tokens, in their own case.
+
+    A token is a run of letters and digits or a single sign. Longer phrases win over shorter ones they overlap.
+    """
+    rows = [{"label": label, "phrase": p} for label, phrases in patterns.items() for p in dict.fromkeys(phrases) if p.strip()]
+    table = F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), "array<struct<label:string,phrase:string>>")
+    df = once(df, __t=F.coalesce(F.col(text), F.lit("")))
+
+    def found(p: Column) -> Column:
+        edge = lambda c: F.when(c.rlike(r"[\p{L}\p{N}]"), F.lit(r"[\p{L}\p{N}]")).otherwise(F.lit(r"(?!)"))
+        pattern = F.concat(F.lit("(?<!"), edge(F.substring(p["phrase"], 1, 1)), F.lit(")\\Q"), p["phrase"], F.lit("\\E(?!"), edge(F.substring(p["phrase"], -1, 1)), F.lit(")"))
+        size = F.length(p["phrase"])
+        parts = F.split(F.col("__t"), pattern, -1)
+        starts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x) + size).alias("at"), F.array_append(a["out"], a["at"] + F.length(x)).alias("out")), lambda a: a["out"])
+        return F.transform(F.slice(starts, F.lit(1), F.size(parts) - 1), lambda at: F.struct(at.alias("start"), (at + size).alias("end"), p["label"].alias("label")))
+
+    each = F.transform(F.filter(table, lambda p: F.contains(F.col("__t"), p["phrase"])), found)
+    return once(df, **{out: without_overlaps(F.array_distinct(F.flatten(each)))}).drop("__t")

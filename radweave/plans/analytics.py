@@ -292,8 +292,8 @@ curve AS (SELECT label, CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (2 *
 
 def _tuned(keys: str = "") -> str:
     k = f", {keys}" if keys else ""
-    return f"""ts AS (SELECT unnest(range(10, 91, 5)) AS t), fs AS (SELECT label{k}, t, 2.0 * count(*) FILTER (y = 1 AND floor(prob * 100 + 1e-9) >= t) / nullif(count(*) FILTER (floor(prob * 100 + 1e-9) >= t) + sum(y), 0) AS f1, sum(y) AS P FROM tg, ts GROUP BY label{k}, t),
-tuned AS (SELECT label{k}, CASE WHEN max(P) = 0 OR coalesce(max(f1), 0) <= 0 THEN 0.5 ELSE min_by(t, struct_pack(a := -coalesce(f1, 0), b := t)) / 100.0 END AS threshold FROM fs GROUP BY label{k})"""
+    return f"""ts AS (SELECT 0.1::DOUBLE + i * 0.05::DOUBLE AS t FROM (SELECT unnest(range(0, 17)) AS i)), fs AS (SELECT label{k}, t, 2.0 * count(*) FILTER (y = 1 AND prob >= t) / nullif(count(*) FILTER (prob >= t) + sum(y), 0) AS f1, sum(y) AS P FROM tg, ts GROUP BY label{k}, t),
+tuned AS (SELECT label{k}, CASE WHEN max(P) = 0 OR coalesce(max(f1), 0) <= 0 THEN 0.5 ELSE round(min_by(t, struct_pack(a := -coalesce(f1, 0), b := t)), 2) END AS threshold FROM fs GROUP BY label{k})"""
 
 
 def _fold(key: str) -> str:

@@ -115,8 +115,8 @@ def vector_scores(spark: SparkSession, folder: str) -> DataFrame:
 def cells(spark: SparkSession, folder: str) -> DataFrame:
     """Report-label decisions of the annotated reports."""
     base = labelled(spark, folder, "annotated_reports").withColumn("blank", is_blank(F.col("report_text")))
-    base = base.select("rec_id", "study_id", "results", "has_normal_phrase", "blank")
-    return ensemble.decisions(base, scores.fold_average(table(spark, folder, "scores")))
+    base = base.select("rec_id", "study_id", "results", "has_normal_phrase", "blank", F.coalesce(F.length("report_text"), F.lit(0)).alias("report_length"))
+    return ensemble.decisions(base, scores.fold_average(table(spark, folder, "scores")), carry=("report_length",))
 
 
 def ensemble_decisions(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,9 +139,7 @@ def ensemble_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 def prediction_record(spark: SparkSession, folder: str) -> DataFrame:
     """Full prediction record: summary, text length and the per-label columns."""
-    c = cells(spark, folder)
-    text = reports(spark, folder, "annotated_reports").select("rec_id", F.coalesce(F.length("report_text"), F.lit(0)).alias("report_length"))
-    return ensemble.summary(c).join(ensemble.wide_record(c), "rec_id").join(text, "rec_id")
+    return ensemble.full_record(cells(spark, folder), "report_length")
 
 
 def union_vote(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +251,7 @@ def _cells() -> str:
 grid AS (SELECT f.rec_id, f.study_id, f.blank, f.has_normal_phrase, l.label,
   CASE WHEN l.label IN ({_list(C.MODEL_PRIMARY)}) THEN 'bert_primary' WHEN l.label IN ({_list(C.RARE)}) THEN 'rare_unstable' ELSE 'rule_primary' END AS policy,
   coalesce(r.score, 0)::DOUBLE AS rb_score, CASE WHEN f.blank THEN 0.0 ELSE coalesce(a.prob, 0) END::DOUBLE AS bert_prob, n.n_folds, n.normal_prob, coalesce(n.normal_prob >= 0.7, false) AND NOT f.blank AS active
-  FROM flags f CROSS JOIN label_hierarchy l LEFT JOIN results r ON r.rec_id = f.rec_id AND r.label = l.label LEFT JOIN avgs a ON a.study_id = f.study_id AND a.label = l.label LEFT JOIN foldn n ON n.study_id = f.study_id),
+  FROM flags f CROSS JOIN label_hierarchy l LEFT JOIN results r ON r.rec_id = f.rec_id AND r.label = l.label LEFT JOIN avgs a ON a.study_id = f.study_id AND f.study_id <> 'ANON' AND a.label = l.label LEFT JOIN foldn n ON n.study_id = f.study_id AND f.study_id <> 'ANON'),
 g2 AS (SELECT *, rb_score >= 0.55 AS rb_detected, NOT blank AND bert_prob >= 0.5 AS bert_detected, CASE WHEN policy = 'rare_unstable' THEN CASE WHEN active THEN 0.95 ELSE 0.85 END ELSE CASE WHEN active THEN 0.9 ELSE 0.8 END END AS bar FROM grid),
 cells AS (SELECT *, CASE WHEN rb_detected = bert_detected THEN rb_detected WHEN rb_detected OR policy = 'bert_primary' THEN true ELSE bert_prob >= bar END AS included,
   CASE WHEN rb_detected = bert_detected THEN 'high' WHEN policy = 'bert_primary' THEN CASE WHEN bert_detected THEN 'medium' ELSE 'low' END WHEN rb_detected THEN CASE WHEN policy = 'rare_unstable' AND bert_prob < 0.3 THEN 'low' ELSE 'medium' END ELSE 'low' END AS confidence,

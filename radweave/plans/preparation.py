@@ -297,14 +297,21 @@ hn AS (SELECT printf('hardneg_%05d', id + 90001) AS study_id, 'CHEST RADIOGRAPH
 
 def _spans_sql(source: str) -> str:
     edge = "[A-Za-z0-9]"
-    return rf"""lx AS (SELECT DISTINCT label, trim(phrase) AS phrase FROM lexicon WHERE label <> 'Normal' AND trim(phrase) <> '' AND NOT (label = 'Cardiomegaly' AND lower(trim(phrase)) IN ({labelling._list(C.RATIO_PHRASES)}))),
-lp AS (SELECT *, '(?i)' || array_to_string(list_transform(string_split(phrase, '_'), lambda p: regexp_escape(p)), '[_\s\x0b]+') AS pat FROM lx),
-cd AS (SELECT r.rec_id, r.report_text AS t, l.label, string_split_regex(r.report_text, l.pat) AS ps, regexp_extract_all(r.report_text, l.pat) AS ms FROM {source} r JOIN lp l ON regexp_matches(r.report_text, l.pat)),
-oc0 AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM cd),
-oc AS (SELECT rec_id, t, label, (list_sum(list_transform(ps[1:k], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda p: length(p))), 0))::INTEGER AS st, length(ms[k]) AS ml FROM oc0),
+    return rf"""lx AS (SELECT DISTINCT label, trim(phrase) AS phrase FROM lexicon WHERE label <> 'Normal' AND trim(phrase) <> ''),
+lp AS (SELECT *, '(?i)' || regexp_escape(phrase) AS pat FROM lx),
+cd AS (SELECT r.rec_id, r.report_text AS t, l.label, string_split_regex(r.report_text, l.pat) AS ps, length(l.phrase) AS ml FROM {source} r JOIN lp l ON regexp_matches(r.report_text, l.pat)),
+oc0 AS (SELECT *, unnest(range(1, len(ps))) AS k FROM cd),
+oc AS (SELECT rec_id, t, label, (list_sum(list_transform(ps[1:k], lambda p: length(p))) + (k - 1) * ml)::INTEGER AS st, ml FROM oc0),
 spn AS (SELECT DISTINCT rec_id, st AS start_at, (st + ml)::INTEGER AS end_at, label FROM oc WHERE NOT regexp_matches(CASE WHEN st = 0 THEN '' ELSE substr(t, st, 1) END, '{edge}') AND NOT regexp_matches(substr(t, st + ml + 1, 1), '{edge}'))"""
 
 
+def _resolved_sql(spans: str) -> str:
+    """Longest first, then earliest, then label; a span goes if it overlaps one kept before it."""
+    return f"""ls AS (SELECT rec_id, list([{{'s': start_at, 'e': end_at, 'l': label}}] ORDER BY start_at - end_at, start_at, end_at, label) AS x FROM {spans} GROUP BY rec_id),
+rs AS (SELECT rec_id, list_reduce(x, lambda a, b: CASE WHEN len(list_filter(a, lambda k: b[1].s < k.e AND k.s < b[1].e)) > 0 THEN a ELSE list_concat(a, b) END) AS kept FROM ls),
+rr AS (SELECT rec_id, unnest(kept) AS k FROM rs)"""
+
+
 def oracle_sql() -> dict[str, str]:
     e = "ensemble_predictions"
     view = f"(regexp_matches({_UP.format('view_position')}, 'PA|AP|FRONT') OR contains({_UP.format('body_part')}, 'CHEST') OR regexp_matches(upper(concat_ws(' ', study_desc, series_desc)), '{'|'.join(validate.VIEW_WORDS)}'))"
@@ -341,6 +348,9 @@ def oracle_sql() -> dict[str, str]:
         "hard_negative_reports": f"WITH {_negatives()} SELECT * FROM hn",
         "merged_training": f"WITH {_synthetic()}, {_negatives()} SELECT origin, neg_target, count(*) AS n FROM (SELECT 'real' AS origin, '' AS neg_target FROM annotated_reports UNION ALL SELECT 'synthetic', '' FROM syn UNION ALL SELECT 'hard_negative', neg_target FROM hn) GROUP BY ALL",
         "report_spans": f"WITH {_spans_sql(e)} SELECT * FROM spn",
+        "resolved_spans": f"WITH {_spans_sql(e)}, {_resolved_sql('spn')} SELECT rec_id, k.s AS start_at, k.e AS end_at, k.l AS label FROM rr",
+        "weak_labels": f"""WITH {_spans_sql('annotated_reports')}, gl AS (SELECT DISTINCT rec_id, CASE WHEN lower(x) = 'other significantt abnormality' THEN 'Other Significant Abnormality' ELSE x END AS label FROM (SELECT rec_id, trim(unnest(string_split(coalesce(gold_labels, ''), ','))) AS x FROM annotated_reports)),
+            own AS (SELECT s.* FROM spn s JOIN gl g ON g.rec_id = s.rec_id AND g.label = s.label), {_resolved_sql('own')} SELECT rec_id, k.s AS start_at, k.e AS end_at, k.l AS label FROM rr""",
         "guarded_labels": f"WITH b AS (SELECT rec_id, report_text, list_filter(list_transform(string_split(coalesce(bert_labels_str, ''), ','), lambda x: {_S('x')}), lambda x: x NOT IN ('', 'Normal')) AS b FROM {e}) SELECT rec_id, array_to_string(list_sort(list_distinct({guards})), ',') AS labels FROM b",
         "csv_round_trip": f"SELECT rec_id, study_id, md5(coalesce(report_text, '')) AS text_hash, final_labels FROM {e}",
         "json_round_trip": f"SELECT count(*) AS total, sum(is_normal)::BIGINT AS normal, sum(disagreement_count)::BIGINT AS disagreements FROM {e}",
