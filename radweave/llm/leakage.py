@@ -13,8 +13,11 @@ one token).
    documents every vocabulary shingle occurs.
 2. Shingles are ordered by that rarity; each item window keeps its rarest one as
    prefix token with its offset.
-3. Stretches are joined to windows on prefix tokens; the positional bound drops a
-   pair whose window would leave the stretch; the words themselves are compared.
+3. The places of prefix tokens, each with the few words around it, are joined to the
+   windows; the positional bound drops a pair whose window would leave the
+   stretch; the words themselves are compared.  Windows are broadcast up to a
+   counted ``BROADCAST_WINDOWS``; beyond it both sides are sorted by token, and a
+   token that most documents hold is split by the adaptive skew join.
 
 The vocabulary is sent to the executors only up to ``block`` shingles; a larger
 item set is worked through in blocks of items, each against all documents.
@@ -33,6 +36,8 @@ from radweave.llm import words
 from radweave.scratch import settle
 
 BLOCK = 2_000_000
+#: Windows sent to every executor at most: about 250 bytes each.
+BROADCAST_WINDOWS = 200_000
 
 
 def _scan(vocabulary, run: int, width: int):
@@ -63,11 +68,14 @@ def _scan(vocabulary, run: int, width: int):
                 begin = np.flatnonzero(new)
                 size = np.diff(np.r_[begin, len(maybe)])
                 out: list[list] = [[], []]
+                read, own = -1, []
                 for s, n in zip(begin[size >= need], size[size >= need]):
                     o = int(owner[s])
+                    if o != read:
+                        read, own = o, words.word_list(texts[lo + o])
                     start = int(maybe[s] - first[o])
                     out[0].append(ids[lo + o])
-                    out[1].append(words.word_list(texts[lo + o])[start : start + int(n) + width - 1])
+                    out[1].append(own[start : start + int(n) + width - 1])
                 if out[0]:
                     yield _batch(out[0], out[1], None, None)
         hit = np.flatnonzero(seen)
@@ -110,16 +118,31 @@ def _windows(run: int, width: int, id_name: str, column: str):
     return windows
 
 
-def _stretch_tokens(width: int):
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(prefix, run: int, width: int):
+    """(id, stretch) to rows (id, token, lead, near): every place of a prefix token with the words a window around it can hold.
+
+    ``near`` starts ``lead`` words before the token; it has at most ``2 * run - width`` words, so nothing
+    that the join below repeats is longer than that.
+    """
+    reach = run - width
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = prefix.value
         for batch in batches:
-            stretch = batch.column(1).to_pylist()
-            b = words.Batch([" ".join(s) for s in stretch])
-            sh, first = b.shingles(width)
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sh.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["id", "stretch", "tokens"])
+            ids, stretch = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sh, first = words.Batch([" ".join(s) for s in stretch]).shingles(width)
+            at = np.minimum(np.searchsorted(known, sh), max(0, len(known) - 1))
+            hit = np.flatnonzero(known[at] == sh) if len(known) else np.zeros(0, np.int64)
+            owner = np.searchsorted(first, hit, "right") - 1
+            place = hit - first[owner]
+            lead = np.minimum(place, reach)
+            near = [stretch[o][p - a : p + run] for o, p, a in zip(owner.tolist(), place.tolist(), lead.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[o] for o in owner.tolist()], pa.int64()), pa.array(sh[hit].view(np.int64)), pa.array(lead.astype(np.int32)), pa.array(near, pa.list_(pa.string()))],
+                names=["id", "token", "lead", "near"],
+            )
 
-    return tokens
+    return places
 
 
 def leaks(texts: DataFrame, items: DataFrame, run: int = 10, width: int = 3, block: int = BLOCK) -> DataFrame:
@@ -157,9 +180,12 @@ def _leaks_of(spark, texts: DataFrame, windows: DataFrame, run: int, width: int)
         .filter("best.docs > 0")
         .select("item_id", "at", "window", F.col("best.token").alias("token"), F.col("best.offset").alias("offset"))
     )
-    stretch = scanned.filter("id is not null").select("id", "stretch").mapInArrow(_stretch_tokens(width), "id long, stretch array<string>, tokens array<long>")
-    place = stretch.select("id", "stretch", F.posexplode("tokens").alias("place", "token"))
-    near = place.join(ranked, "token").withColumn("begin", F.col("place") - F.col("offset"))
-    near = near.filter((F.col("begin") >= 0) & (F.col("begin") + run <= F.size("stretch")))
-    exact = near.filter(F.slice("stretch", F.col("begin") + 1, run) == F.col("window"))
+    ranked = settle(ranked, "prefixes")
+    few = ranked.count() <= BROADCAST_WINDOWS
+    prefix = spark.sparkContext.broadcast(np.sort(ranked.select("token").distinct().toArrow()["token"].to_numpy().view(np.uint64)))
+    stretch = scanned.filter("id is not null").select("id", "stretch")
+    place = stretch.mapInArrow(_places(prefix, run, width), "id long, token long, lead int, near array<string>")
+    met = place.join(F.broadcast(ranked) if few else ranked.hint("merge"), "token").withColumn("begin", F.col("lead") - F.col("offset"))
+    met = met.filter((F.col("begin") >= 0) & (F.col("begin") + run <= F.size("near")))
+    exact = met.filter(F.slice("near", F.col("begin") + 1, run) == F.col("window"))
     return exact.groupBy("id", "item_id").agg(F.countDistinct("at").alias("n_windows"))
