@@ -172,3 +172,11 @@ def test_leaks(spark, block):
                 want[d, i] = n
     got = leakage.leaks(frame(spark, docs + docs[5:9]), frame(spark, items, "item_id").withColumn("at", F.lit(1)), block=block)
     assert {(x.id, x.item_id): x.n_windows for x in got.collect()} == want
+
+
+def test_crowded_partitions_pass_on_in_chunks(spark):
+    rows = [*enumerate(texts(160, 4)), *((1_000 + i, " ".join(VOCAB[:40]) + f" tail{i}") for i in range(60))]
+    df = frame(spark, rows)
+    whole = sorted(map(tuple, neardup.similar_texts(df, 0.7, 3, 20).collect()))
+    chunked = sorted(map(tuple, neardup.similar_texts(df, 0.7, 3, 20, held_bytes=20_000, chunk_bytes=9_000).collect()))
+    assert len(whole) > 1_700 and whole == chunked
