@@ -9,14 +9,17 @@ row per ``length/4`` characters is shuffled.
 1. ``_runs``: per text, the stretches of consecutive windows with one minimiser.
 2. Minimisers of at least two records survive; the texts of only those records are
    read again and give each surviving stretch its characters (its context).
-3. Stretches with equal contexts in two records are shared as a whole
-   (pre-aggregated by digest, so copies never gather).  One representative of every
-   other context goes to the reference shard of its minimiser: a suffix automaton
-   of the shard's contexts, through which each of them streams.  The matching
-   statistics against other records give the maximal spans.  A shard of more than
-   ``crowd`` contexts is not built in one task: its windows are compared by a
-   distributed aggregation over window hashes, with the same result.
-4. Shared windows become maximal character runs per record.
+3. Equal contexts collapse to one that knows the smallest and largest record holding
+   it, so copies never gather.  The contexts of a minimiser are its reference shard:
+   a suffix automaton is built of them, and each streams through it.  The matching
+   statistics against other records give the maximal spans; every span comes
+   from an automaton.
+4. A shard of more than ``crowd`` contexts is first cut finer: equal windows also have
+   equal minimisers of longer grams, so its contexts are divided by those, and the
+   parts compared as in 3.  What is crowded even by the longest gram is divided
+   into automata of about ``crowd`` contexts, through each of which all contexts
+   of the shard stream, in tasks of their own.
+5. Shared windows become maximal character runs per record.
 """
 
 from __future__ import annotations
@@ -51,9 +54,13 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def _minimisers(points: np.ndarray, length: int) -> np.ndarray:
+#: Gram sizes as parts of the window: shards by the first, crowded ones cut by the further ones.
+GRAMS = (1 / 2, 3 / 4, 7 / 8)
+
+
+def _minimisers(points: np.ndarray, length: int, level: int = 0) -> np.ndarray:
     """Minimiser of the window at every position of one concatenation of texts (windows may cross texts)."""
-    gram = length // 2
+    gram = max(1, int(length * GRAMS[level]))
     at = np.arange(len(points) - gram + 1)
     return _sliding_min(words.range_hash(points, at, at + gram), length - gram + 1)
 
@@ -117,109 +124,120 @@ def _context_batch(out: list[list]) -> pa.RecordBatch:
     )
 
 
-def _window_hashes(contexts: list[str], counts: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the windows of each context, all after another."""
-    points = np.concatenate([_points(c) for c in contexts])
-    first = np.cumsum(counts + length - 1) - (counts + length - 1)
-    at = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
-    return words.range_hash(points, at, at + length)
+def _divided(length: int, level: int):
+    """Contexts (low, digest, id, last, n, context) to their stretches by the minimisers of a longer gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, digest, first_id, last_id, _, contexts = (c.to_pylist() for c in batch.columns)
+            for rows, first, points in _chunked(contexts, length):
+                minimum = _minimisers(points, length, level)
+                owner = np.repeat(np.arange(len(rows)), np.diff(first))[: len(minimum)]
+                valid = np.arange(len(minimum)) + length <= first[owner + 1]
+                edge = (minimum[1:] != minimum[:-1]) | (owner[1:] != owner[:-1])
+                begin = np.flatnonzero(valid & np.r_[True, edge])
+                stop = np.flatnonzero(valid & np.r_[edge | ~valid[1:], True]) + 1
+                at, out = rows[owner[begin]].tolist(), [[] for _ in range(8)]
+                for r, m, a, n in zip(at, minimum[begin].view(np.int64).tolist(), (begin - first[owner[begin]]).tolist(), (stop - begin).tolist()):
+                    for c, v in zip(out, (low[r], digest[r], a, m, first_id[r], last_id[r], n, contexts[r][a : a + n - 1 + length])):
+                        c.append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["up_low", "up_digest", "off", "low", "id", "last", "n", "context"])
+
+    return run
 
 
 def _compare(length: int):
-    """Rows (low, id, last, n, context, digest) sorted by low: per low one suffix automaton, through which its contexts stream."""
+    """Rows (low, block, own, id, last, context, digest) sorted by low and block, own contexts first.
 
-    def shard(col: list[list]) -> Iterator[tuple[int, int, int, int]]:
-        owners = list(zip(col[1], col[2]))
-        automaton = SuffixAutomaton(col[4], owners)
-        for (first, last), context, digest in zip(owners, col[4], col[5]):
-            if first == last:  # else shared as a whole already
-                for a, b in automaton.spans(context, first, length):
-                    yield col[0][0], digest, a, b - length + 1
+    The own contexts of a block make its automaton; they and all that follow stream through it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in range(6)]
+        key, own, automaton = None, [], None
+        out: list[list] = [[], [], [], []]
+
+        def stream(low: int, first: int, context: str, digest: int) -> None:
+            for a, b in automaton.spans(context, first, length):
+                for c, v in zip(out, (low, digest, a, b - length + 1)):
+                    c.append(v)
+
+        def build() -> None:
+            nonlocal automaton
+            automaton = SuffixAutomaton([r[2] for r in own], [r[:2] for r in own])
+            for first, _, context, digest in own:
+                stream(key[0], first, context, digest)
+
         for batch in batches:
-            for c, v in zip(held, batch.columns):
-                c.extend(v.to_pylist())
-            cut = len(held[0])
-            while cut and held[0][cut - 1] == held[0][-1]:
-                cut -= 1
-            if cut:
-                yield _shared(shard, held, cut)
-                held = [c[cut:] for c in held]
-        if held[0]:
-            yield _shared(shard, held, len(held[0]))
+            for low, block, mine, first, last, context, digest in zip(*(c.to_pylist() for c in batch.columns)):
+                if (low, block) != key:
+                    if own and automaton is None:
+                        build()
+                    key, own, automaton = (low, block), [], None
+                if mine:
+                    own.append((first, last, context, digest))
+                elif own:
+                    if automaton is None:
+                        build()
+                    stream(low, first, context, digest)
+            yield _hit_batch(out)
+            out = [[], [], [], []]
+        if own and automaton is None:
+            build()
+        yield _hit_batch(out)
 
     return run
 
 
-def _shared(shard, held: list[list], stop: int) -> pa.RecordBatch:
-    rows = [r for lo, hi in _whole_groups(held[0], stop) for r in shard([c[lo:hi] for c in held])]
-    low, digest, a, b = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(digest, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["low", "digest", "a", "b"])
-
+def _hit_batch(out: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["low", "digest", "a", "b"])
 
-def _whole_groups(keys: list, stop: int) -> Iterator[tuple[int, int]]:
-    lo = 0
-    while lo < stop:
-        hi = lo + 1
-        while hi < stop and keys[hi] == keys[lo]:
-            hi += 1
-        yield lo, hi
-        lo = hi
 
+_HIT = "low long, digest long, a int, b int"
 
-def _explode_windows(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = [c.to_pylist() for c in batch.columns]
-            n = np.array(col[3], np.int64)
-            h = _window_hashes(col[4], n, length)
-            owner = np.repeat(np.arange(len(n)), n)
-            offset = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            pick = [np.array(col[k], np.int64)[owner] for k in (0, 1, 2, 5)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(p) for p in pick), pa.array(offset.astype(np.int32)), pa.array(h.view(np.int64))], names=["low", "id", "last", "digest", "at", "h"])
 
-    return run
+def _hits(contexts: DataFrame, length: int, crowd: int, level: int = 0) -> DataFrame:
+    """Shared windows (low, digest, a, b) of contexts unique by (low, digest)."""
+    size = contexts.groupBy("low").agg(F.count(F.lit(1)).alias("contexts"), F.min("id").alias("p"), F.max("last").alias("q")).filter("p <> q").select("low", "contexts")
+    live = contexts.join(size, "low")
+    last_level = level + 1 == len(GRAMS)
+    fits = live if last_level else live.filter(F.col("contexts") <= crowd)
+    blocks = F.ceil(F.col("contexts") / crowd).cast("int")
+    dealt = fits.withColumn("home", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("low", "block", (F.col("home") == F.col("block")).alias("own"), "id", "last", "context", "digest")
+    found = dealt.repartition("low", "block").sortWithinPartitions("low", "block", F.desc("own")).mapInArrow(_compare(length), _HIT)
+    if last_level or size.filter(F.col("contexts") > crowd).isEmpty():
+        return found
+    crowded = live.filter(F.col("contexts") > crowd).select("low", "digest", "id", "last", "n", "context")
+    kind = "up_low long, up_digest long, off int, low long, id long, last long, n int, context string"
+    parts = settle(crowded.mapInArrow(_divided(length, level + 1), kind).withColumn("digest", F.xxhash64("low", "context", F.md5("context"))), "divided")
+    unique = parts.groupBy("low", "digest").agg(F.min("id").alias("id"), F.max("last").alias("last"), F.min("n").alias("n"), F.min("context").alias("context"))
+    inner = _hits(settle(unique, "parts"), length, crowd, level + 1)
+    back = parts.join(inner, ["low", "digest"]).select(F.col("up_low").alias("low"), F.col("up_digest").alias("digest"), (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b"))
+    return found.unionByName(back)
 
 
-def shared_spans(texts: DataFrame, length: int = 300, crowd: int = 500) -> DataFrame:
+def shared_spans(texts: DataFrame, length: int = 300, crowd: int = 200) -> DataFrame:
     """Maximal shared runs (id, start_at, end_at) of ``texts`` (columns id bigint, text string).
 
     Positions count code points, ``end_at`` is exclusive.  Null, empty and short texts
     have none; repetition inside one record does not count; rows with the same id are
     one record's repeats and do not share with each other; an empty table gives no rows.
+    ``crowd`` sets how many contexts share an automaton, not what is found.
     """
-    spark = texts.sparkSession
     texts = texts.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
     long_ones = texts.filter(F.length("text") >= length)
     runs = settle(long_ones.mapInArrow(_runs(length), "low long, id long, pos int, n int"), "runs")
     meeting = runs.groupBy("low").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p <> q").select("low")
-    live = runs.join(meeting.hint("shuffle_hash"), "low", "left_semi")
+    live = runs.join(meeting, "low", "left_semi")
     per_text = live.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "n"))).alias("s"))
     per_text = per_text.select("id", F.col("s.low").alias("lows"), F.col("s.pos").alias("poss"), F.col("s.n").alias("ns"))
     read_again = long_ones.join(per_text, "id").select("id", "text", "lows", "poss", "ns")
     stretch = read_again.mapInArrow(_contexts(length), "low long, id long, pos int, n int, context string")
     stretch = settle(stretch.withColumn("digest", F.xxhash64("low", "context", F.md5("context"))), "stretches")
-
-    per_context = stretch.groupBy("low", "digest").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min("n").alias("n"))
-    whole = settle(per_context, "contexts")
-    several = whole.groupBy("low").agg(F.count(F.lit(1)).alias("contexts"))
-    rest = whole.join(several.filter("contexts > 1").hint("shuffle_hash"), "low")
-    # A context found in two records needs no comparison of its own, but others may match parts of it.
-    sample = stretch.join(rest.select("low", "digest", "id", "last", "contexts").hint("shuffle_hash"), ["low", "digest", "id"])
-    sample = sample.dropDuplicates(["low", "digest"]).select("low", "id", "last", "n", "context", "digest", "contexts")
-    sample = settle(sample, "samples")
-    small = sample.filter(F.col("contexts") <= crowd).drop("contexts").repartition("low").sortWithinPartitions("low")
-    parts = small.mapInArrow(_compare(length), "low long, digest long, a int, b int")
-    big = sample.filter(F.col("contexts") > crowd).drop("contexts").mapInArrow(_explode_windows(length), "low long, id long, last long, digest long, at int, h long")
-    hot = big.groupBy("low", "h").agg(F.min("id").alias("p"), F.max("last").alias("q")).filter("p <> q").select("low", "h")
-    crowded = big.join(hot, ["low", "h"], "left_semi").select("low", "digest", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
-    full = whole.filter("id <> last").select("low", "digest", F.lit(0).alias("a"), F.col("n").alias("b"))
-    hits = full.unionByName(parts).unionByName(crowded)
-    span = stretch.select("low", "digest", "id", "pos").join(hits.hint("shuffle_hash"), ["low", "digest"])
+    unique = stretch.groupBy("low", "digest").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min("n").alias("n"), F.min("context").alias("context"))
+    hits = _hits(settle(unique, "contexts"), length, crowd)
+    span = stretch.select("low", "digest", "id", "pos").join(hits, ["low", "digest"])
     span = span.select("id", (F.col("pos") + F.col("a")).alias("start_at"), (F.col("pos") + F.col("b") - 1 + length).alias("end_at"))
     return merge_intervals(span)
 
