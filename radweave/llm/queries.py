@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radweave.llm import canonical, encoding, leakage, mixing, neardup, overlap, pii, spans
+from radweave.scratch import settle
 from radweave.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,9 +69,13 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(found, "item_id", "left").select("item_id", "item_set", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("most_windows", F.lit(0)).alias("most_windows"))
 
 
-def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+def _splits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     rows = spread(table(spark, folder, "training_reports_augmented").select(F.col("rec_id").alias("id"), F.col("report_text").alias("text"), "split"))
-    return overlap.text_overlaps(rows.filter("split = 'train'"), rows.filter("split in ('val', 'test')"), threshold=0.75, min_words=20)
+    return rows.filter("split = 'train'"), rows.filter("split in ('val', 'test')")
+
+
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.text_overlaps(*_splits(spark, folder), threshold=0.75, min_words=20)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,21 +84,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Per split and origin of the evaluation record and origin of the training record: pairs, records hit, mean share and coverage."""
+    """Per split and origin of the evaluation record and origin of the training record: pairs, records hit, mean share,
+    and how much of the records hit stands anywhere in training (merged intervals)."""
     rows = table(spark, folder, "training_reports_augmented")
     kind = F.when(F.col("is_synthetic"), "synthetic").when(~F.col("is_synthetic"), "real").when(F.col("study_id").rlike("^(synth|hardneg)_"), "synthetic").otherwise("unknown")
     info = rows.select("rec_id", "split", kind.alias("origin"))
-    pairs = _overlaps(spark, folder)
+    pairs = settle(_overlaps(spark, folder), "overlaps")
+    whole = overlap.evaluation_coverage(*_splits(spark, folder), min_words=20)
     named = pairs.join(info.select(F.col("rec_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("origin").alias("eval_origin")), "eval_id").join(
         info.select(F.col("rec_id").alias("train_id"), F.col("origin").alias("train_origin")), "train_id"
     )
-    return named.groupBy("eval_split", "eval_origin", "train_origin").agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.countDistinct("eval_id").alias("n_eval"),
-        F.countDistinct("train_id").alias("n_train"),
-        F.round(F.avg("share"), 4).alias("mean_share"),
-        F.round(F.avg("coverage"), 4).alias("mean_coverage"),
-    )
+    group = ["eval_split", "eval_origin", "train_origin"]
+    counts = named.groupBy(*group).agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("train_id").alias("n_train"), F.round(F.avg("share"), 4).alias("mean_share"))
+    covered = named.select(*group, "eval_id").distinct().join(whole, "eval_id").groupBy(*group).agg(F.round(F.avg("coverage"), 4).alias("mean_coverage"))
+    return counts.join(covered, group)
 
 
 def _damaged(spark: SparkSession, folder: str) -> DataFrame:

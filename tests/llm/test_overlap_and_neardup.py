@@ -128,11 +128,11 @@ def test_pass_marks_lose_at_most_epsilon(threshold):
     assert 1 - kept <= 1e-4
 
 
-@pytest.mark.parametrize("shard", [3, 5000])
+@pytest.mark.parametrize("shard", [300, 1_500_000])
 def test_overlaps(spark, shard):
     rows = list(enumerate(texts(150, 5)))
     train, held = rows[::2], rows[1::2]
-    got = {(r.train_id, r.eval_id): r for r in overlap.text_overlaps(frame(spark, train), frame(spark, held), 0.75, 20, shard_records=shard, held=2000).collect()}
+    got = {(r.train_id, r.eval_id): r for r in overlap.text_overlaps(frame(spark, train), frame(spark, held), 0.75, 20, shard_passages=shard, held=2000).collect()}
     want = brute(train, held, 0.75, 3, 20)
     assert got.keys() == want.keys()
     for (t, e), r in got.items():
@@ -142,6 +142,19 @@ def test_overlaps(spark, shard):
         assert r.coverage == pytest.approx(len(covered) / len(w))
 
 
+@pytest.mark.parametrize("shard", [300, 1_500_000])
+def test_coverage_of_evaluation_records(spark, shard):
+    rows = list(enumerate(texts(90, 6)))
+    train, held = rows[::2], rows[1::2]
+    seen = set().union(*(words.shingle_set(t, 3) for _, t in train if len(words.word_list(t)) >= 20))
+    got = {r.eval_id: r for r in overlap.evaluation_coverage(frame(spark, train), frame(spark, held), 20, shard, 2000).collect()}
+    own = {i: words.word_list(t) for i, t in held if len(words.word_list(t)) >= 20}
+    assert got.keys() == own.keys()
+    for i, w in own.items():
+        covered = {k + d for k, s in enumerate(zip(w, w[1:], w[2:])) if s in seen for d in range(3)}
+        assert got[i].n_words == len(w) and got[i].coverage == pytest.approx(len(covered) / len(w))
+
+
 def test_overlap_of_copies_on_both_sides(spark):
     t = " ".join(VOCAB[:30])
     got = overlap.text_overlaps(frame(spark, [(i, t) for i in range(40)]), frame(spark, [(100 + i, t.upper()) for i in range(30)])).collect()
