@@ -2,8 +2,8 @@
 
 Normalisation quick-check properties split every text: characters that are stable
 under composition and compatibility folding are left alone as they stand, and
-only *unstable segments* (a suspicious run, widened to the base letter before it and
-the marks after it) are normalised and spliced back.
+only *unstable segments* (a run of characters whose quick check is "no" or "maybe", widened
+to the character before it, with which they may compose) are normalised and spliced back.
 
 Canonical form: composed letters (NFC), plain letters for compatibility forms, a
 plain space for every other blank, no invisible characters, one script per word.
@@ -33,7 +33,9 @@ LOOKALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "α": "a", "γ": "y", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c", "ϳ": "j", "ό": "ó", "ί": "í",
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮃ": "W", "Ꮓ": "Z",
-    "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "յ": "j", "ı": "i", "ɑ": "a", "ɡ": "g", "ꞌ": "'",
+    "Ꭰ": "D", "Ꮐ": "G", "Ꮩ": "V", "Ꭵ": "i", "օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "յ": "j",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H",
+    "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U", "ⲟ": "o", "Ⲟ": "O", "ⲥ": "c", "Ⲥ": "C", "ⲣ": "p", "Ⲣ": "P",
 }
 #: Signs whose folding would change what the reader sees as one sign.
 KEEP = frozenset("°±×÷≤≥µΩ℃℉™®©‰′″¹²³ºª¼½¾¨¯´¸")
@@ -59,17 +61,27 @@ def _compatible(c: str) -> bool:
     return d.startswith("<") and unicodedata.normalize("NFKC", c) != c
 
 
+def _maybe() -> set[int]:
+    """Characters whose quick check is "maybe": they may compose with the one before them."""
+    out = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # Hangul vowels and final consonants
+    for o in range(0xC0, sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(o)).split()
+        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", chr(o)) == chr(o):
+            out.add(int(parts[1], 16))
+    return out
+
+
 @cache
 def _patterns() -> tuple[re.Pattern, re.Pattern]:
-    """Characters that fail a quick check, and the same widened to the segment to normalise."""
-    bad = []
+    """Characters that fail a quick check or may fail it, and the same widened to the segment to normalise."""
+    bad, maybe = [], _maybe()
     for o in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= o < 0xE000:
             continue
         c = chr(o)
         if unicodedata.category(c) in ("Cn", "Co"):
             continue
-        if _invisible(c) or _blank(c) or _compatible(c) or not unicodedata.is_normalized("NFC", c) or unicodedata.combining(c):
+        if _invisible(c) or _blank(c) or _compatible(c) or not unicodedata.is_normalized("NFC", c) or unicodedata.combining(c) or o in maybe:
             bad.append(o)
     ranges, start = [], None
     for i, o in enumerate(bad):
@@ -78,7 +90,7 @@ def _patterns() -> tuple[re.Pattern, re.Pattern]:
             ranges.append(f"\\U{start:08x}-\\U{o:08x}")
             start = None
     cls = "".join(ranges)
-    return re.compile(f"[{cls}]"), re.compile(f"[^\\s\\W]?[{cls}]+")
+    return re.compile(f"[{cls}]"), re.compile(f"[^\\s]?[{cls}]+")
 
 
 def _latin(c: str) -> bool:

@@ -1,18 +1,14 @@
 """Text decoded with the wrong character encoding: detection and repair.
 
-Damage shows only in runs of characters beyond ASCII, so every text is cut into
-such *islands* with their two neighbours.  For each distinct island a best-first
+Damage shows only in runs of characters beyond ASCII and in escapes, so every text is cut
+into such *islands* with their neighbours.  For each distinct island a best-first
 graph search looks for the cheapest reachable spelling: nodes are spellings
-(hashed in a visited set), edges are encode-decode steps (UTF-8 bytes read in one
-of several code pages; bytes of one code page read in another), and the cost
-is the implausibility of the characters in their place.
-Every UTF-8 step shortens the spelling and a code-page step follows only the
-original or a UTF-8 step, so the graph is finite and searched completely; two
-code-page steps in direct succession are not searched, as those alone reach up
-to 128 ** length spellings.
-
-Escapes are plain ASCII, which no step on an island writes, so undoing them
-before the search, again until nothing changes, reaches what edges for them would.
+(hashed in a visited set), edges are unescape steps (one layer of HTML, backslash or percent
+escapes) and encode-decode steps (UTF-8 bytes read in one of several code pages; bytes of one
+code page read in another), and the cost is the implausibility of the characters in their place.
+Unescaping and UTF-8 steps shorten the spelling; a code-page step may follow any step but a
+code-page step that made the text no more plausible, so the graph stays finite.  The search
+ends when no open spelling can be cheaper than the best one.
 
 An island is damaged if a spelling at least ``MARGIN`` cheaper is reached, or if it holds
 what no proper writing has: C1 controls or the replacement character.
@@ -33,8 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARGIN = 1.9
-ISLAND = re.compile(r"[^\x00-\x7f]+")
-ESCAPED = re.compile(r"&(?:#[0-9]{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8}[0-9]{0,2});|\\u[0-9a-fA-F]{4}|\\x[c-fC-F][0-9a-fA-F](?:\\x[89abAB][0-9a-fA-F])+|%[c-fC-F][0-9a-fA-F](?:%[89abAB][0-9a-fA-F])+")
+#: An escape, behind any number of escaped ampersands.
+ESCAPED = re.compile(
+    r"(?:&|\\u0026|\\x26|%26)(?:amp;)*(?:#[0-9]{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8}[0-9]{0,2});|\\u[0-9a-fA-F]{4}|\\x[c-fC-F][0-9a-fA-F](?:\\x[89abAB][0-9a-fA-F])+|%[c-fC-F][0-9a-fA-F](?:%[89abAB][0-9a-fA-F])+"
+)
+_LAYER = re.compile(r"\\u[0-9a-fA-F]{4}|\\x26|%26|&(?:#[0-9]{2,6}|#x[0-9a-fA-F]{2,5}|[A-Za-z]{2,8}[0-9]{0,2});|\\x[c-fC-F][0-9a-fA-F](?:\\x[89abAB][0-9a-fA-F])+|%[c-fC-F][0-9a-fA-F](?:%[89abAB][0-9a-fA-F])+")
+ISLAND = re.compile(rf"(?:[^\x00-\x7f]|{ESCAPED.pattern})+")
+PLAIN_ISLAND = re.compile(r"[^\x00-\x7f]+")
 
 # Code pages in which UTF-8 bytes are commonly misread.
 MISREAD = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "mac_roman", "cp437", "cp850", "cp866", "koi8-r")
@@ -72,8 +73,8 @@ class _Bytes(dict):
 
 
 _TABLES = {c: _Bytes(_byte_of(c)) for c in MISREAD}
-#: An English genitive or negation whose apostrophe became a letter; the letter stands in no such ending otherwise.
-_APOSTROPHE = re.compile("(?<=[a-z]{4})[íÕõÆ](?=s(?![^\\W_]))|(?<=[a-z]n)[íÕõÆ](?=t(?![^\\W_]))")
+#: The surroundings of an apostrophe in an English genitive or negation: no other letter stands there.
+_BEFORE = {"s": re.compile("[a-z]{4}$"), "t": re.compile("[a-z]n$")}
 _SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}")
 
 
@@ -111,7 +112,8 @@ def char_cost(c: str, left: str, right: str) -> float:
     if c in LETTERS:
         return _letter_cost(c, left, right)
     if 0x300 <= o < 0x370:
-        return 1.0 if left.isalpha() or (left and unicodedata.category(left) == "Mn") else 4.0
+        rare = 0.0 if o <= 0x30C or o in (0x323, 0x327, 0x328, 0x329, 0x331) else 1.5
+        return 1.0 + rare if left.isalpha() or (left and unicodedata.category(left) == "Mn") else 4.0
     if 0x370 <= o < 0x530:
         if not c.isalpha() or o in (0x37E, 0x387) or 0x460 <= o < 0x490:
             return 3.0
@@ -136,24 +138,32 @@ def char_cost(c: str, left: str, right: str) -> float:
         return 4.0 if left.isalpha() and right.isalpha() else 1.0
     if unicodedata.category(c) in ("Zs", "Cf"):
         return 1.0
+    if 0x3040 <= o < 0x3100 or 0x4E00 <= o < 0xA000 or 0xAC00 <= o < 0xD7A4:
+        return 1.5  # Kana, Han, Hangul
     if 0xFF00 < o < 0xFF5F or 0xFB00 <= o < 0xFB07:
         return 1.0
     return 3.0
 
 
-def cost_of(text: str, left: str, right: str) -> float:
-    """Implausibility of an island between its neighbours."""
+def cost_of(text: str, left: str, right: str, ending: bool = False) -> float:
+    """Implausibility of an island between its neighbours; ``ending``: it stands where only an apostrophe does.
+
+    An escape of a character beyond ASCII costs more than any character does, an escape of an ASCII one nothing.
+    Letters with an accent among such letters on both sides are rare in the languages at hand.
+    """
+    total = 0.0
+    if not text.isascii() or "&" in text or "\\" in text or "%" in text:
+        total += sum(6.0 for m in ESCAPED.finditer(text) if not _unescaped(m.group()).isascii())
     seq = [left, *text, right]
-    return sum(char_cost(c, seq[i], seq[i + 2]) for i, c in enumerate(text))
+    for i, c in enumerate(text):
+        if ord(c) >= 0x80:
+            before, after = seq[i], seq[i + 2]
+            total += char_cost(c, before, after) + (1.0 if _accented(c) and _accented(before) and _accented(after) else 0.0)
+    return total + (2.0 if ending and text.isalpha() else 0.0)
 
 
-def _plausible(c: str) -> bool:
-    o = ord(c)
-    if 0x80 <= o < 0xA0:
-        return True  # a further step may resolve it
-    if 0xA0 <= o <= 0xFF or c in LETTERS or c in TRUSTED or c in SIGNS or c in "ƒˆ˜€‚„…†‡‰‹›Œ’‘“”•–—™š":
-        return True
-    return 0x300 <= o <= 0x328 or 0x386 <= o <= 0x3CE or 0x401 <= o <= 0x491 or 0x2000 <= o <= 0x200F or o in (0x202F, 0x2060, 0xFEFF, 0x3000, 0x221A, 0x25CA) or 0xFF01 <= o <= 0xFF5E or 0xFB00 <= o <= 0xFB06 or 0x1E00 <= o <= 0x1EFF or 0x100 <= o <= 0x17F or 0x2500 <= o <= 0x25FF
+def _accented(c: str) -> bool:
+    return len(c) == 1 and (0xC0 <= ord(c) < 0x180) and c not in "×÷"
 
 
 def _utf8_step(text: str, codec: str) -> str:
@@ -161,10 +171,8 @@ def _utf8_step(text: str, codec: str) -> str:
     raw = text.translate(_TABLES[codec])
     out, at = [], 0
     for m in _SEQUENCE.finditer(raw):
-        c = m.group().encode("latin-1").decode("utf-8")
-        if _plausible(c):
-            out += [text[at : m.start()], c]
-            at = m.end()
+        out += [text[at : m.start()], m.group().encode("latin-1").decode("utf-8")]
+        at = m.end()
     if not out:
         return text
     out.append(text[at:])
@@ -178,10 +186,35 @@ def _swap_step(text: str, read_as: str, written: str) -> str:
         return text
 
 
+def _unescape(m: re.Match) -> str:
+    s = m.group()
+    if s[0] == "&":
+        return html.unescape(s)
+    try:
+        if s[0] == "%" or s[1] == "x":
+            return bytes.fromhex(re.sub(r"%|\\x", "", s)).decode("utf-8")
+        return chr(int(s[2:], 16))
+    except ValueError:
+        return s
+
+
+def _layer(text: str) -> str:
+    """Text with one layer of escapes undone."""
+    return _LAYER.sub(_unescape, text)
+
+
+@lru_cache(maxsize=50_000)
+def _unescaped(text: str) -> str:
+    """Text with escapes undone until none is left; every escape is longer than what it stands for, so this ends."""
+    while (plain := _layer(text)) != text:
+        text = plain
+    return text
+
+
 @lru_cache(maxsize=200_000)
-def repair_island(text: str, left: str, right: str) -> tuple[str, float, float]:
+def repair_island(text: str, left: str, right: str, ending: bool = False) -> tuple[str, float, float]:
     """(cheapest spelling, its cost, cost as written) of one island."""
-    start = cost_of(text, left, right)
+    start = cost_of(text, left, right, ending)
     best, least = text, start
     queue: list[tuple[float, int, str, bool, float]] = [(start, 0, text, True, math.inf)]
     visited = {(text, True, math.inf)}
@@ -189,58 +222,48 @@ def repair_island(text: str, left: str, right: str) -> tuple[str, float, float]:
         cost, depth, node, may_swap, limit = heapq.heappop(queue)
         if cost <= limit and cost + 0.1 * depth < least or node == text:
             best, least = (node, cost) if node != text else (best, least)
+        if least <= 1.0:
+            break  # the goal: one plausible character or none, than which no spelling is cheaper
         steps = [(_utf8_step(node, c), True, limit) for c in MISREAD]
+        if "&" in node or "\\" in node or "%" in node:
+            steps.append((_layer(node), True, limit))
         if may_swap:  # a spelling that UTF-8 steps reached is given up for another only by the margin that damage needs
-            after = min(limit, cost_of(node, left, right) - MARGIN) if depth else limit
-            steps += [(_swap_step(node, a, b), False, after) for a, b in SWAPPED]
+            whole = cost_of(node, left, right, ending)
+            after = min(limit, whole - MARGIN) if depth else limit
+            for a, b in SWAPPED:
+                other = _swap_step(node, a, b)
+                if other != node:
+                    steps.append((other, cost_of(other, left, right, ending) < whole - MARGIN, after))
         for rank, state in enumerate(steps):
             if state[0] != node and state not in visited:
                 visited.add(state)
-                heapq.heappush(queue, (cost_of(state[0], left, right) + 0.001 * rank, depth + 1, *state))  # commoner code pages first
+                heapq.heappush(queue, (cost_of(state[0], left, right, ending) + 0.001 * rank, depth + 1, *state))  # commoner code pages first
     return best, least, start
 
 
-def _unescape(m: re.Match) -> str:
-    s = m.group()
-    if s[0] == "&":
-        return html.unescape(s)
-    try:
-        if s[0] == "%" or s[1] == "x":
-            return bytes.fromhex(re.sub(r"%|\\x", "", s)).decode("utf-8")
-        return chr(int(s[2:], 16))
-    except ValueError:
-        return s
-
-
-def _unescaped(text: str) -> str:
-    """Text with escapes undone until none is left; every escape is longer than what it stands for, so this ends."""
-    while (plain := ESCAPED.sub(_unescape, text)) != text:
-        text = plain
-    return text
+def _unreadable(c: str) -> bool:
+    return "\x80" <= c < "\xa0" or c == "\ufffd" or "\ue000" <= c < "\uf900"
 
 
 def inspect(text: str | None) -> tuple[bool, bool, str | None]:
     """(damaged, fully restored, text with every damaged place in its cheapest spelling)."""
     if not text:
         return False, False, text
+    escapes = "&" in text or "\\" in text or "%" in text
+    if text.isascii() and not escapes:
+        return False, False, text
     damaged, lost, out, at = False, False, [], 0
-    if "&" in text or "\\" in text or "%" in text:
-        plain = _unescaped(text)
-        if plain != text and not plain.isascii():
-            damaged, text = True, plain
-    if text.isascii():
-        return damaged, damaged, text
-    if _APOSTROPHE.search(text):
-        damaged, text = True, _APOSTROPHE.sub("’", text)
-    for m in ISLAND.finditer(text):
+    for m in (ISLAND if escapes else PLAIN_ISLAND).finditer(text):
         s, e = m.span()
         island = m.group()
-        left, right = text[s - 1 : s], text[e : e + 1]
-        best, least, start = repair_island(island, left, right)
-        hard = any("\x80" <= c < "\xa0" or c == "�" for c in island)
-        if start - least >= MARGIN or hard:
+        if island.isascii() and _unescaped(island).isascii():
+            continue
+        right = text[e : e + 1]
+        ending = right in _BEFORE and len(island) == 1 and not text[e + 1 : e + 2].isalnum() and _BEFORE[right].search(text, max(0, s - 4), s) is not None
+        best, least, start = repair_island(island, text[max(0, s - 1) : s], right, ending)
+        if start - least >= MARGIN or any(map(_unreadable, island)):
             damaged = True
-            lost |= any("\x80" <= c < "\xa0" or c == "�" for c in best)
+            lost |= any(map(_unreadable, best))
             out += [text[at:s], best]
             at = e
     if out:

@@ -49,6 +49,15 @@ def test_escapes_behind_escapes():
     assert encoding.inspect("A &amp;amp; B") == (False, False, "A &amp;amp; B")
 
 
+def test_other_scripts_come_back_or_are_left_alone():
+    assert encoding.inspect("è´¨") == (True, True, "质")
+    assert encoding.inspect("日本 æ—¥æœ¬") == (True, True, "日本 日本")
+    assert encoding.inspect("Ñîáàêà") == (True, True, "Собака")
+    assert encoding.inspect("&amp;eacute;t&amp;eacute;") == (True, True, "été")
+    assert encoding.inspect("日本語 и кириллица, καρδιά, créée") == (False, False, "日本語 и кириллица, καρδιά, créée")
+    assert encoding.inspect("fish &amp; chips, 100%25 off") == (False, False, "fish &amp; chips, 100%25 off")
+
+
 @pytest.mark.parametrize(("read_as", "written"), [("mac_roman", "cp1252")])
 @pytest.mark.parametrize("codec", ["cp1252", "mac_roman", "cp437"])
 def test_swaps_after_utf8_steps(read_as, written, codec):
@@ -81,6 +90,18 @@ def test_deviations(text, want, kinds):
     assert canonical.canonical(text) == (want, kinds)
 
 
+def test_maybe_characters_compose_with_what_stands_before():
+    assert canonical.canonical("\u1112\u1161\u11ab\u1100\u1173\u11af") == ("한글", {"decomposed"})
+    assert canonical.canonical("\ud558\u11ab") == ("한", {"decomposed"})
+    assert canonical.canonical("\u0b95\u0bc6\u0bbe") == ("\u0b95\u0bca", {"decomposed"})
+    assert canonical.canonical("தமிழ், 한글, \u0bbe") == ("தமிழ், 한글, \u0bbe", frozenset())
+
+
+@pytest.mark.parametrize("text", ["Yılmaz", "kızıl ışık", "ɡene ɑlpha"])
+def test_latin_letters_are_no_look_alikes(text):
+    assert canonical.canonical(text) == (text, frozenset())
+
+
 @pytest.mark.parametrize("text", [None, "", "plain", "“typographic” – ’quotes’", "2 × 3 cm, 37° ± 4 ≥ 5 µm²", "ọjọ́ àyà ń", "«ВДОХ» α1", "α β", "tab\tand\r\nends"])
 def test_consistent_text_is_left_alone(text):
     assert canonical.canonical(text) == (text, frozenset())
