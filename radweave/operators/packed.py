@@ -2,9 +2,10 @@
 
 A finite-state tokenizer walks a field once.  Its state is (outside, inside a bare value,
 inside quotes, after a closing quote) with an escape flag and a nesting depth;
-delimiters count only outside quotes and at depth 0.  A name that contains a delimiter
-character (a slash, say) is recognised at the start of a bare value by the longest
-known name that ends before a delimiter, so its own slash separates nothing.
+delimiters count only outside quotes and at depth 0, and quotes are tracked inside brackets too.  A bracket
+that is never closed is found at the end of a walk; the field is walked again with it as plain text.
+A name that contains a delimiter character (a slash, say) is recognised at the start of a bare value by the
+longest known name that ends before a delimiter, so its own slash separates nothing, with or without blanks round it.
 """
 
 from __future__ import annotations
@@ -28,7 +29,20 @@ def _known(names: Sequence[str]) -> re.Pattern | None:
     hard = sorted({n.strip() for n in names if n and any(d in n for d in DELIMITERS)}, key=lambda n: (-len(n), n))
     if not hard:
         return None
-    body = "|".join(r"\s+".join(re.escape(w) for w in n.split()) for n in hard)
+    parts = lambda n: (p for p in re.split(rf"\s*([{re.escape(DELIMITERS)}])\s*|\s+", n) if p != "")
+
+    def spelled(n: str) -> str:
+        """Words one or more blanks apart, blanks round a delimiter at will."""
+        out, blank = "", ""
+        for p in parts(n):
+            if p is None:
+                continue
+            mark = p in DELIMITERS
+            out += (r"\s*" if mark or blank == "mark" else r"\s+" if blank else "") + re.escape(p)
+            blank = "mark" if mark else "word"
+        return out
+
+    body = "|".join(map(spelled, hard))
     return re.compile(rf"(?:{body})(?=[  ]*(?:[{re.escape(DELIMITERS)}\]}}]|$))", re.IGNORECASE)
 
 
@@ -37,24 +51,37 @@ def split_packed(field: str | None, names: re.Pattern | None = None) -> list[str
 
     A quote opens only where a value starts, so an apostrophe inside a word is text;
     an unclosed quote keeps the rest of the field as one value; text after a closing quote up to
-    the next delimiter belongs to the value.  A null or blank field has none.
+    the next delimiter belongs to the value.  Inside brackets a quote opens after a bracket, delimiter
+    or blank if it is closed again, and hides brackets and delimiters; both stay part of the value.
+    A null or blank field has none.
     """
     if field is None or not field.strip():
         return []
     text = field.strip()
     if text[0] in OPEN and text[-1] == OPEN[text[0]]:
         text = text[1:-1]
+    plain: set[int] = set()
+    while True:
+        values, unclosed = _walk(text, names, plain)
+        if not unclosed:
+            return values
+        plain.update(unclosed)
+
+
+def _walk(text: str, names: re.Pattern | None, plain: set[int]) -> tuple[list[str], list[int]]:
+    """Values of a text and the places of brackets left open; those in ``plain`` are text."""
     values: list[str] = []
     buffer: list[str] = []
-    state, closing, depth, quoted, escaped = "outside", "", 0, False, False
+    opened: list[int] = []
+    state, closing, inner, escaped = "outside", "", "", False
     at, end = 0, len(text)
 
     def emit() -> None:
-        nonlocal state, quoted, buffer
+        nonlocal state, buffer
         value = "".join(buffer).strip()
         if value:
             values.append(value)
-        state, quoted, buffer = "outside", False, []
+        state, buffer = "outside", []
 
     while at < end:
         c = text[at]
@@ -72,37 +99,41 @@ def split_packed(field: str | None, names: re.Pattern | None = None) -> list[str
                     state = "after"
             else:
                 buffer.append(c)
-        elif c in DELIMITERS and depth == 0:
+        elif inner:
+            buffer.append(c)
+            if c == "\\" and at + 1 < end:
+                at += 1
+                buffer.append(text[at])
+            elif c == inner:
+                if text[at + 1 : at + 2] == inner:
+                    at += 1
+                    buffer.append(inner)
+                else:
+                    inner = ""
+        elif c in DELIMITERS and not opened:
             emit()
         elif state == "outside" and c.isspace():
             pass
         elif state == "outside" and c in QUOTES:
-            state, closing, quoted = "quoted", QUOTES[c], True
+            state, closing = "quoted", QUOTES[c]
         elif state == "outside" and names is not None and (m := names.match(text, at)):
             buffer.append(m.group())
             state, at = "bare", m.end() - 1
         else:
             if state != "after":
                 state = "bare"
-            if c in CLOSE or c in OPEN:
-                depth += 1
-            elif depth and (c in CLOSE.values() or c in OPEN.values()):
-                depth -= 1
+            if (c in CLOSE or c in OPEN) and at not in plain:
+                opened.append(at)
+            elif opened and (c in CLOSE.values() or c in OPEN.values()):
+                opened.pop()
+            elif opened and c in QUOTES and (text[at - 1] in DELIMITERS or text[at - 1].isspace() or text[at - 1] in CLOSE or text[at - 1] in OPEN) and text.find(QUOTES[c], at + 1) > 0:
+                inner = QUOTES[c]
             buffer.append(c)
         at += 1
     if escaped:
         buffer.append("\\")
-    if depth:  # an unclosed bracket protects nothing: the rest is split without nesting
-        tail = "".join(buffer)
-        head = min(tail.find(o) for o in "([{" if o in tail)
-        first, *more = _split_flat(tail[head:])
-        return values + [v for v in (tail[:head] + first, *more) if v.strip()]
     emit()
-    return values
-
-
-def _split_flat(text: str) -> list[str]:
-    return [v.strip() for v in re.split(f"[{re.escape(DELIMITERS)}]", text)]
+    return values, opened
 
 
 def unpack(df: DataFrame, key: str, fields: Sequence[str], names: DataFrame | None = None, least: int = 1) -> DataFrame:

@@ -16,6 +16,8 @@ NAMES = packed._known(["Pneumonia / Consolidation", "Lung Mass / Nodule", "Cardi
         ("lung mass / nodule / Cardiomegaly", ["lung mass / nodule", "Cardiomegaly"]), ("Cardiomegaly/Pneumonia / Consolidation", ["Cardiomegaly", "Pneumonia / Consolidation"]),
         ("Lung Mass / Nodules", ["Lung Mass", "Nodules"]), ('"a, b";c', ["a, b", "c"]), ('"a ""b"""', ['a "b"']), ("['x, y', \"z\"]", ["x, y", "z"]), ("[]", []), ('["a"]', ["a"]),
         ('"open, x', ["open, x"]), ("it's, b", ["it's", "b"]), ("a (b, c), d", ["a (b, c)", "d"]), ("a (b, c", ["a (b", "c"]), (r'"a\"b", c', ['a"b', "c"]), ('""', []), ('"", a', ["a"]), ("{a; b}", ["a", "b"]),
+        ('Foo (bar, "a, b"', ["Foo (bar", "a, b"]), ('(a, "b)c", d), e', ['(a, "b)c", d)', "e"]), ("pneumonia/consolidation, TB", ["pneumonia/consolidation", "TB"]), ("lung  mass/ nodule", ["lung  mass/ nodule"]),
+        ("(it's, b), c", ["(it's, b)", "c"]), ("a) b, c", ["a) b", "c"]), ("x (y [z, w), q", ["x (y [z, w)", "q"]), ("a ('b, c), d", ["a ('b, c)", "d"]),
     ],
 )
 def test_cases(field, values):
