@@ -11,16 +11,17 @@ Interleaving is Pfair: the uses of a source are cut into blocks; block i of a
 source with weight w is released at slot floor(i / w) and due by
 ceil((i + 1) / w), and each slot takes the released block with the earliest
 deadline.  At any slot every source is within one block of its share.
-``max_blocks`` bounds the schedule whatever the size of the input.
+A block has ``block_tokens`` tokens whatever the size of the input; the schedule is written slot by
+slot in one task that holds only the next block of every source.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
-from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -57,24 +58,34 @@ def token_sizes(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return texts.select(*cols).mapInArrow(count, "id long, source string, n_tokens long")
 
 
-def pfair_slots(blocks: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block, slot) of an earliest-deadline-first schedule with weights blocks[s] / total."""
+def pfair_slots(blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of an earliest-deadline-first schedule with weights blocks[s] / total, in the order of slots."""
     total = sum(blocks.values())
     due: list[tuple[int, str, int]] = []
     waiting = [(0, s, 0) for s in sorted(blocks) if blocks[s]]
     heapq.heapify(waiting)
-    out = []
     for slot in range(total):
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
-            w = Fraction(blocks[s], total)
-            heapq.heappush(due, (math.ceil((i + 1) / w), s, i))
+            heapq.heappush(due, (-(-(i + 1) * total // blocks[s]), s, i))
         deadline, s, i = heapq.heappop(due)
         assert slot < deadline
-        out.append((s, i, slot))
+        yield s, i, slot
         if i + 1 < blocks[s]:
-            heapq.heappush(waiting, (math.floor((i + 1) * Fraction(total, blocks[s])), s, i + 1))
-    return out
+            heapq.heappush(waiting, ((i + 1) * total // blocks[s], s, i + 1))
+
+
+def _schedule(spark: SparkSession, blocks: dict[str, int]) -> DataFrame:
+    """(source, block, slot) of ``pfair_slots``, written by one task in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = pfair_slots(blocks)
+            while batch.num_rows and (part := list(itertools.islice(slots, 50_000))):
+                source, block, slot = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(block, pa.int64()), pa.array(slot, pa.int64())], names=["source", "block", "slot"])
+
+    return settle(spark.range(0, 1, 1, 1).mapInArrow(run, "source string, block long, slot long"), "slots")
 
 
 def _running(sizes: DataFrame, bucket_rows: int, seed: int) -> DataFrame:
@@ -100,7 +111,7 @@ class Mixture:
     """
 
     def __init__(
-        self, texts: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = TOKENIZER, max_blocks: int = 4096, bucket_rows: int = 50_000, seed: int = 7
+        self, texts: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: str = TOKENIZER, block_tokens: int = 65_536, bucket_rows: int = 50_000, seed: int = 7
     ):
         spark: SparkSession = texts.sparkSession
         named = targets.select("source", F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).cast("long").alias("most"))
@@ -123,19 +134,18 @@ class Mixture:
         chosen = chosen.withColumn("repeats", F.least(F.col("passes") + more.cast("long"), F.col("most"))).filter("repeats > 0")
         self.chosen = settle(chosen.select("id", "source", "n_tokens", "before", "size", "repeats"), "chosen")
         got = {r["source"]: r["t"] for r in self.chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t")).collect()}
-        block = max(1, -(-sum(got.values()) // max(1, max_blocks - len(got))))
-        self.block = block
-        slots = pfair_slots({s: -(-t // block) for s, t in got.items()})
-        self.slots = spark.createDataFrame(slots, "source string, block long, slot long")
+        self.block = block_tokens
+        blocks = {s: -(-t // block_tokens) for s, t in got.items()}
+        self.slots = _schedule(spark, blocks)
+        self.last = spark.createDataFrame([(s, n - 1) for s, n in blocks.items()], "source string, last long")
 
     def uses(self) -> DataFrame:
         """(id, source, n_tokens, use_no, slot): one row per use; reading by (slot, place) is the mixture."""
         each = self.chosen.select("*", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("use_no"))
         start = each.withColumn("place", (F.col("use_no") - 1) * F.col("size") + F.col("before"))
         start = start.withColumn("block", F.floor(F.col("place") / self.block))
-        last = self.slots.groupBy("source").agg(F.max("block").alias("last"))
-        start = start.join(F.broadcast(last), "source").withColumn("block", F.least("block", "last"))
-        return start.join(F.broadcast(self.slots), ["source", "block"]).select("id", "source", "n_tokens", "use_no", "slot", "place")
+        start = start.join(F.broadcast(self.last), "source").withColumn("block", F.least("block", "last"))
+        return start.join(self.slots, ["source", "block"]).select("id", "source", "n_tokens", "use_no", "slot", "place")
 
     def rows(self) -> DataFrame:
         """(id, source, n_tokens, repeats, first_slot): one row per chosen record."""

@@ -139,6 +139,11 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).rows().withColumnRenamed("id", "doc_id")
 
 
+def p8_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture as it is read: one row per use of a document, in the order of slot, source and place."""
+    return _mixture(spark, folder).uses().withColumnRenamed("id", "doc_id")
+
+
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     """Rows, repeats, tokens and actual share per source."""
     return _mixture(spark, folder).report()
@@ -157,7 +162,7 @@ def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_canonical": p4_canonical,
-        "p1_found": p1_found, "p1_report": p1_report, "p7_found": p7_found, "p7_items": p7_items, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_share": p9_share,
+        "p1_found": p1_found, "p1_report": p1_report, "p7_found": p7_found, "p7_items": p7_items, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_mix": p8_mix, "p8_order": p8_order, "p8_report": p8_report, "p9_found": p9_found, "p9_share": p9_share,
     }
 
 

@@ -67,7 +67,7 @@ def test_pfair_windows():
     for _ in range(20):
         blocks = {f"s{i}": r.randint(0, 40) for i in range(r.randint(1, 7))}
         total = sum(blocks.values())
-        out = mixing.pfair_slots(blocks)
+        out = list(mixing.pfair_slots(blocks))
         assert [s for *_, s in out] == list(range(total))
         done = dict.fromkeys(blocks, 0)
         for s, i, slot in out:
@@ -82,7 +82,7 @@ def test_mixture(spark):
     rows = [(i, r.choice(["a", "a", "a", "b", "c", None, "d"]), r.choice(["word " * r.randint(1, 60), "", None])) for i in range(600)]
     docs = spark.createDataFrame(rows, "id long, source string, text string")
     targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.4, 3), ("c", 0.25, 2), ("e", 0.05, 4)], "source string, target_share double, max_repeats int")
-    m = mixing.Mixture(docs, targets, max_blocks=64, bucket_rows=20)
+    m = mixing.Mixture(docs, targets, block_tokens=90, bucket_rows=20)
     size = {x.id: x.n_tokens for x in mixing.token_sizes(docs).collect()}
     assert all(size[i] == 0 for i, _, t in rows if not t)
     total = sum(size[i] for i, s, _ in rows if s in ("a", "b", "c", "e"))
