@@ -70,12 +70,20 @@ def clean_report(text: Column) -> Column:
     return drop_signature(redact(text))
 
 
+def new_uid(old: Column, key: str) -> Column:
+    """Instance id under the root for ids made from numbers; null stays null."""
+    return F.concat(F.lit("2.25."), F.conv(F.substring(F.md5(F.concat(old, F.lit(key))), 1, 15), 16, 10))
+
+
 def deidentify_headers(df: DataFrame, key: str) -> DataFrame:
     """Header rows without personal fields, with hashed ids and shifted dates.
 
-    Personal fields that are present are dropped, age and sex stay, every date of a study moves by the same days.
+    Personal and private fields that are present are dropped, age and sex stay, every date of a study moves by the
+    same days, and every instance gets a new unique id that follows from the old one and the key.
     """
-    out = df.drop(*[c for c in DROPPED if c in df.columns])
+    out = df.drop(*[c for c in df.columns if c in DROPPED or c.startswith("private_")])
+    if "sop_instance_uid" in df.columns:
+        out = out.withColumn("sop_instance_uid", new_uid(F.col("sop_instance_uid"), key))
     days = study_offset(F.col("study_id"), key)
     for c in DATES:
         if c in df.columns:

@@ -62,11 +62,22 @@ def to_uint16(image: np.ndarray) -> np.ndarray:
     return (np.clip(image, 0, 1) * 65535).astype(np.uint16)
 
 
-def preprocess(df: DataFrame, key: str, pixels: str, height: int, width: int, size: tuple[int, int]) -> DataFrame:
+def preprocess(df: DataFrame, key: str, pixels: str, height: int, width: int, size: tuple[int, int], chest: Column | None = None, existing: DataFrame | None = None) -> DataFrame:
     """(key, status, image): normalised, resized and padded pixels as a flat array, by Arrow batches.
 
-    A row whose pixels are null or of another length has a status and no image.
+    A row whose pixels are null or of another length has a status and no image; so has one that is no chest view by
+    ``chest`` ("not chest"), or whose key ``existing`` already holds ("exists"); these are not worked on.
     """
+    if chest is not None or existing is not None:
+        why = F.lit(None).cast("string")
+        if existing is not None:
+            df = df.join(existing.select(F.col(key), F.lit(True).alias("__done")).distinct(), key, "left")
+            why = F.when(F.col("__done"), "exists")
+        if chest is not None:
+            why = F.when(why.isNull() & ~F.coalesce(chest, F.lit(False)), "not chest").otherwise(why)
+        marked = df.withColumn("__why", why)
+        rest = marked.filter("__why is not null").select(key, F.col("__why").alias("status"), F.lit(None).cast("array<float>").alias("image"))
+        return preprocess(marked.filter("__why is null"), key, pixels, height, width, size).unionByName(rest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -141,3 +141,18 @@ def winner(a: Column, b: Column, margin: float = 0.01) -> Column:
 def fold_of(key: Column, folds: int = 5, seed: str = "42") -> Column:
     """Fold number of a record from the hash of its key: stable under any partitioning."""
     return F.pmod(F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+def stratified_folds(df: DataFrame, key: str, gold: str = "gold_labels", folds: int = 5, seed: str = "42") -> DataFrame:
+    """(key, fold): records of every combination of gold labels dealt out in turn, in the order of a hash of their key.
+
+    Places come from counts of 4,096 hash ranges and the order inside one, so a combination that most
+    records have is never sorted in one task.
+    """
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
+    rows = df.select(F.col(key), F.array_join(F.array_sort(F.array_distinct(gold_array(F.col(gold)))), ",").alias("stratum"), digest.alias("h")).withColumn("part", F.substring("h", 1, 3))
+    count = rows.groupBy("stratum", "part").agg(F.count(F.lit(1)).alias("n"))
+    base = count.select("stratum", "part", (F.sum("n").over(W.partitionBy("stratum").orderBy("part")) - F.col("n")).alias("base"))
+    inside = F.row_number().over(W.partitionBy("stratum", "part").orderBy("h", key))
+    placed = rows.withColumn("at", inside).join(base, ["stratum", "part"])
+    return placed.select(key, F.pmod(F.col("base") + F.col("at") - 1, F.lit(folds)).cast("int").alias("fold"))

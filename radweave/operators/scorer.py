@@ -47,3 +47,30 @@ def score_texts(df: DataFrame, load: Callable[[int], Scorer], folds: Sequence[in
             )
 
     return df.filter(~is_blank(F.col(text))).select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, fold int, label string, prob double")
+
+
+class EntityFinder(Protocol):
+    """What a span model must offer: (start, end, label) lists for a batch of texts."""
+
+    def find(self, texts: Sequence[str]) -> Sequence[Sequence[tuple[int, int, str]]]: ...
+
+
+def entity_texts(df: DataFrame, load: Callable[[], EntityFinder], key: str = "study_id", text: str = "report_text", batch_size: int = 16) -> DataFrame:
+    """(key, start_at, end_at, label): the spans that a model finds; blank and null texts have none."""
+    kind = df.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            rows, out = [], []
+            for lo in range(0, len(texts), batch_size):
+                for i, spans in enumerate(model.find(texts[lo : lo + batch_size]), lo):
+                    rows += [i] * len(spans)
+                    out += spans
+            start, end, label = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(label, pa.string())], names=[key, "start_at", "end_at", "label"]
+            )
+
+    return df.filter(~is_blank(F.col(text))).select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, start_at int, end_at int, label string")

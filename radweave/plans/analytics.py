@@ -235,9 +235,9 @@ def weighted_label_losses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fold_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Fold of every real training row; synthetic ones train in all folds (fold -1)."""
-    t = table(spark, folder, "training_reports_augmented")
-    return t.select("rec_id", F.when(F.col("is_synthetic"), -1).otherwise(metrics.fold_of(F.col("rec_id"))).alias("fold"))
+    """Fold of every real training row, stratified by its labels; synthetic ones train in all folds (fold -1)."""
+    t = table(spark, folder, "training_reports_augmented").select("rec_id", "gold_labels", F.coalesce("is_synthetic", F.lit(False)).alias("made"))
+    return metrics.stratified_folds(t.filter("not made"), "rec_id").unionByName(t.filter("made").select("rec_id", F.lit(-1).alias("fold")))
 
 
 def queries() -> dict:
@@ -348,5 +348,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT label, bert_f1, rb_f1, CASE WHEN bert_f1 - rb_f1 > 0.01 THEN 'BERT' WHEN bert_f1 - rb_f1 < -0.01 THEN 'RB' ELSE 'Tie' END AS winner FROM (SELECT m.label, round(m.f1 + 1e-9, 4) AS bert_f1, round(r.f1 + 1e-9, 4) AS rb_f1 FROM m2 m JOIN r2 r USING (label))""",
         "normal_stats": f"WITH {_GRID}, d AS (SELECT DISTINCT study_id, normal_prob, n_gold FROM grid WHERE normal_prob IS NOT NULL) SELECT round(avg(normal_prob), 6) AS mean_prob, round(avg((normal_prob >= 0.5)::INTEGER), 6) AS rate, round(avg(((normal_prob >= 0.5) = (n_gold = 0))::INTEGER), 6) AS accuracy, count(*) AS n FROM d",
         "label_losses": f"WITH {_GRID}, q AS (SELECT label, CASE WHEN y = 1 THEN greatest(1e-6, least(1.0 - 1e-6, prob)) ELSE 1.0 - greatest(1e-6, least(1.0 - 1e-6, prob)) END::DOUBLE AS r FROM grid) SELECT label, round(avg(-ln(r)), 6) AS bce, round(avg(pow(1.0 - r, 2) * -ln(r)), 6) AS focal FROM q GROUP BY label",
-        "fold_split": f"SELECT rec_id, CASE WHEN is_synthetic THEN -1 ELSE {_fold('rec_id')} END AS fold FROM training_reports_augmented",
+        "fold_split": f"""WITH s AS (SELECT rec_id, coalesce(is_synthetic, false) AS made, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(gold_labels, ''), ','), lambda x: {_S('x')}), lambda x: x NOT IN ('', 'Normal')))), ',') AS g FROM training_reports_augmented)
+            SELECT rec_id, (row_number() OVER (PARTITION BY g ORDER BY md5(rec_id::VARCHAR || '42'), rec_id) - 1) % 5 AS fold FROM s WHERE NOT made UNION ALL SELECT rec_id, -1 FROM s WHERE made""",
     }

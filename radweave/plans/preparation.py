@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,9 +81,11 @@ def cleaned_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def deidentified_headers(spark: SparkSession, folder: str) -> DataFrame:
-    df = _headers(spark, folder).withColumn("institution_name", F.lit("clinic")).withColumn("study_date", F.lit("20240229"))
+    df = _headers(spark, folder).withColumn("study_date", F.lit("20240229")).withColumn("sop_instance_uid", F.col("file"))
+    df = df.withColumns({c: F.lit("clinic") for c in (*deid.DROPPED, "private_0009_note")})
     out = deid.deidentify_headers(df, KEY)
-    return out.select("study_id", "file", "modality", "patient_id", "patient_name", "study_date", "deidentified")
+    kept = F.lit(",".join(sorted(c for c in out.columns if c in deid.DROPPED or c.startswith("private_"))))
+    return out.select("study_id", "file", "modality", "patient_id", "patient_name", "study_date", "deidentified", "sop_instance_uid", kept.alias("personal_fields"))
 
 
 def deidentification_outcomes(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,6 +197,52 @@ def guarded_labels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "ensemble_predictions").select("rec_id", F.array_join(spans.guarded(agreement.as_list("bert_labels_str"), F.col("report_text")), ",").alias("labels"))
 
 
+def _text_folder(spark: SparkSession, folder: str) -> str:
+    root = new_path(spark, "texts")
+    rows = table(spark, folder, "annotated_reports").select(F.concat("rec_id", F.lit(".txt")).alias("name"), F.coalesce("report_text", F.lit("")).alias("content"))
+    sinks.write_files(spread(rows), root, "name", "content")
+    return root
+
+
+def scanned_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """Reports written as a folder of text files and scanned: ids from file names, texts stripped, empty ones dropped."""
+    return sources.scan_reports(spark, _text_folder(spark, folder)).select("study_id", F.md5("report_text").alias("text_hash"))
+
+
+def scanned_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same scan with the empty texts kept."""
+    return sources.scan_reports(spark, _text_folder(spark, folder), keep_empty=True).select("study_id", F.md5("report_text").alias("text_hash"))
+
+
+def listed_studies(spark: SparkSession, folder: str) -> DataFrame:
+    """Study folders with one file per supplier, listed recursively; only the .png files count."""
+    root = new_path(spark, "studies")
+    s = table(spark, folder, "supplier")
+    name = F.concat(F.lit("study"), F.pmod("s_suppkey", F.lit(7)), F.lit("/"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 5 == 0, ".txt").otherwise(".png"))
+    sinks.write_files(s.select(name.alias("name"), F.col("s_name").alias("content")), root, "name", "content")
+    return sources.study_files(spark, root, "*.png").select("study_id", "file", "length")
+
+
+def lexicon_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Lexicon table written as a JSON object of phrase lists and loaded again."""
+    rows = table(spark, folder, "lexicon").orderBy("label_idx", "phrase_idx").limit(rules.MAX_PHRASES).collect()
+    phrases: dict[str, list] = {}
+    for r in rows:
+        phrases.setdefault(r["label"], []).append(r["phrase"])
+    root = new_path(spark, "lexicon")
+    sinks.write_files(spark.createDataFrame([("lexicon.json", json.dumps(phrases, ensure_ascii=False))], "name string, content string"), root, "name", "content")
+    return sources.load_lexicon(spark, [f"{root}/missing.json", f"{root}/lexicon.json"])
+
+
+def hierarchy_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Hierarchy table written as YAML and loaded again."""
+    rows = table(spark, folder, "label_hierarchy").orderBy("label_idx").limit(rules.MAX_PHRASES).collect()
+    text = "version: 1\npathology_to_category:\n" + "".join(f"  \"{r['label']}\": {r['tier2']}\n" for r in rows)
+    root = new_path(spark, "hierarchy")
+    sinks.write_files(spark.createDataFrame([("hierarchy.yaml", text)], "name string, content string"), root, "name", "content")
+    return sources.load_hierarchy(spark, f"{root}/hierarchy.yaml")
+
+
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions written to delimited files and read back with a declared schema."""
     path = new_path(spark, "csv")
@@ -215,7 +265,8 @@ def streamed_labels(spark: SparkSession, folder: str) -> DataFrame:
     schema = "rec_id long, study_id string, report_text string"
 
     def label(df: DataFrame) -> DataFrame:
-        return rules.with_labels(df, lexicon).select("rec_id", F.array_join(F.array_sort(rules.label_list(normal_as_empty=False)), ",").alias("labels"))
+        dealt = df.repartition(spark.sparkContext.defaultParallelism)  # one small file is one split of a stream
+        return rules.with_labels(dealt, lexicon).select("rec_id", F.array_join(F.array_sort(rules.label_list(normal_as_empty=False)), ",").alias("labels"))
 
     return incremental.run_available(spark, f"{folder}/ensemble_predictions.parquet*", schema, label, new_path(spark, "stream"), new_path(spark, "stream-checkpoint"))
 
@@ -232,7 +283,7 @@ def queries() -> dict:
         for f in (
             file_validation, study_validation, dataset_validation, primary_images, hashed_ids, shifted_dates, redacted_reports, cleaned_reports, deidentified_headers, deidentification_outcomes, normalised_vectors,
             padded_images, qc_sample, stratified_sample, prefill_links, reorganised_studies, excluded_studies, kept_studies, synthetic_reports, rare_label_reports, hard_negative_reports, varied_negative_reports, merged_training,
-            report_spans, resolved_spans, weak_labels, guarded_labels, csv_round_trip, json_round_trip, streamed_labels, resumed_reports,
+            report_spans, resolved_spans, weak_labels, guarded_labels, scanned_reports, scanned_all, listed_studies, lexicon_round_trip, hierarchy_round_trip, csv_round_trip, json_round_trip, streamed_labels, resumed_reports,
         )
     }
 
@@ -333,7 +384,7 @@ def oracle_sql() -> dict[str, str]:
         "shifted_dates": f"SELECT o_orderkey, {_offset(study)} AS offset_days, {_shift('d', 'o')} AS shifted FROM (SELECT o_orderkey, o_custkey, {day} AS d, {_offset(study)} AS o FROM orders)",
         "redacted_reports": f"SELECT rec_id, {_redact('report_text')} AS redacted FROM {e}",
         "cleaned_reports": f"WITH l AS (SELECT rec_id, report_text, {lines} AS ls FROM {e}) SELECT rec_id, CASE WHEN report_text IS NULL THEN NULL ELSE coalesce(array_to_string(list_filter(ls, lambda x, i: NOT (i > len(ls) - 3 AND regexp_matches({_S('x')}, '{signature}'))), chr(10)), '') END AS cleaned FROM l",
-        "deidentified_headers": f"WITH hd AS (SELECT {_HEADERS} FROM part) SELECT study_id, file, modality, 'ANON_' || {_hash('patient_id')} AS patient_id, 'ANON' AS patient_name, {_shift("'20240229'", _offset('study_id'))} AS study_date, true AS deidentified FROM hd",
+        "deidentified_headers": f"WITH hd AS (SELECT {_HEADERS} FROM part) SELECT study_id, file, modality, 'ANON_' || {_hash('patient_id')} AS patient_id, 'ANON' AS patient_name, {_shift("'20240229'", _offset('study_id'))} AS study_date, true AS deidentified, '2.25.' || (('0x' || substr(md5(file || '{KEY}'), 1, 15))::BIGINT)::VARCHAR AS sop_instance_uid, '' AS personal_fields FROM hd",
         "deidentification_outcomes": f"WITH hd AS (SELECT {_HEADERS} FROM part) SELECT study_id, count(*) FILTER (parse_error IS NULL) AS n_ok, count(*) FILTER (parse_error IS NOT NULL) AS n_failed FROM hd GROUP BY study_id",
         "normalised_vectors": """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_aggregate(list_transform(embedding, lambda x: x::DOUBLE), 'quantile_cont', 0.01) AS p, list_aggregate(list_transform(embedding, lambda x: x::DOUBLE), 'quantile_cont', 0.99) AS r FROM embeddings),
             v AS (SELECT vec_id, list_transform(e, lambda x: (greatest(p, least(r, x)) - p) / (r - p + 1e-6)) AS v FROM q) SELECT vec_id, round(list_min(v), 6) AS least, round(list_max(v), 6) AS most, round(list_sum(v), 5) AS total FROM v""",
@@ -352,6 +403,11 @@ def oracle_sql() -> dict[str, str]:
         "weak_labels": f"""WITH {_spans_sql('annotated_reports')}, gl AS (SELECT DISTINCT rec_id, CASE WHEN lower(x) = 'other significantt abnormality' THEN 'Other Significant Abnormality' ELSE x END AS label FROM (SELECT rec_id, trim(unnest(string_split(coalesce(gold_labels, ''), ','))) AS x FROM annotated_reports)),
             own AS (SELECT s.* FROM spn s JOIN gl g ON g.rec_id = s.rec_id AND g.label = s.label), {_resolved_sql('own')} SELECT rec_id, k.s AS start_at, k.e AS end_at, k.l AS label FROM rr""",
         "guarded_labels": f"WITH b AS (SELECT rec_id, report_text, list_filter(list_transform(string_split(coalesce(bert_labels_str, ''), ','), lambda x: {_S('x')}), lambda x: x NOT IN ('', 'Normal')) AS b FROM {e}) SELECT rec_id, array_to_string(list_sort(list_distinct({guards})), ',') AS labels FROM b",
+        "scanned_reports": f"SELECT rec_id::VARCHAR AS study_id, md5({_S('report_text')}) AS text_hash FROM annotated_reports WHERE report_text IS NOT NULL AND {_S('report_text')} <> ''",
+        "scanned_all": f"SELECT rec_id::VARCHAR AS study_id, md5({_S("coalesce(report_text, '')")}) AS text_hash FROM annotated_reports",
+        "listed_studies": "SELECT 'study' || (s_suppkey % 7) AS study_id, s_suppkey || '.png' AS file, length(s_name) AS length FROM supplier WHERE s_suppkey % 5 <> 0",
+        "lexicon_round_trip": "SELECT label, (dense_rank() OVER (ORDER BY label_idx) - 1) AS label_idx, (row_number() OVER (PARTITION BY label ORDER BY phrase_idx) - 1) AS phrase_idx, phrase FROM lexicon",
+        "hierarchy_round_trip": "SELECT label, (row_number() OVER (ORDER BY label_idx) - 1) AS label_idx, tier2 FROM label_hierarchy",
         "csv_round_trip": f"SELECT rec_id, study_id, md5(coalesce(report_text, '')) AS text_hash, final_labels FROM {e}",
         "json_round_trip": f"SELECT count(*) AS total, sum(is_normal)::BIGINT AS normal, sum(disagreement_count)::BIGINT AS disagreements FROM {e}",
         "streamed_labels": labelling.oracle_sql()["rule_labels"],
