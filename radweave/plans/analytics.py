@@ -348,6 +348,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT label, bert_f1, rb_f1, CASE WHEN bert_f1 - rb_f1 > 0.01 THEN 'BERT' WHEN bert_f1 - rb_f1 < -0.01 THEN 'RB' ELSE 'Tie' END AS winner FROM (SELECT m.label, round(m.f1 + 1e-9, 4) AS bert_f1, round(r.f1 + 1e-9, 4) AS rb_f1 FROM m2 m JOIN r2 r USING (label))""",
         "normal_stats": f"WITH {_GRID}, d AS (SELECT DISTINCT study_id, normal_prob, n_gold FROM grid WHERE normal_prob IS NOT NULL) SELECT round(avg(normal_prob), 6) AS mean_prob, round(avg((normal_prob >= 0.5)::INTEGER), 6) AS rate, round(avg(((normal_prob >= 0.5) = (n_gold = 0))::INTEGER), 6) AS accuracy, count(*) AS n FROM d",
         "label_losses": f"WITH {_GRID}, q AS (SELECT label, CASE WHEN y = 1 THEN greatest(1e-6, least(1.0 - 1e-6, prob)) ELSE 1.0 - greatest(1e-6, least(1.0 - 1e-6, prob)) END::DOUBLE AS r FROM grid) SELECT label, round(avg(-ln(r)), 6) AS bce, round(avg(pow(1.0 - r, 2) * -ln(r)), 6) AS focal FROM q GROUP BY label",
+        "weighted_label_losses": f"""WITH {_GRID}, {_items('annotated_reports', 'gold_labels', 'g')}, h AS (SELECT a.rec_id, l.label, (EXISTS (SELECT 1 FROM g WHERE g.rec_id = a.rec_id AND g.label = l.label))::INTEGER AS y FROM annotated_reports a CROSS JOIN label_hierarchy l),
+            w AS (SELECT label, CASE WHEN sum(y) = 0 THEN 1.0 ELSE greatest(1.0, least(50.0, count(*) FILTER (y = 0) / sum(y)::DOUBLE)) END AS weight FROM h GROUP BY label),
+            q AS (SELECT q.label, CASE WHEN y = 1 THEN weight ELSE 1.0 END AS w, CASE WHEN y = 1 THEN greatest(1e-6, least(1.0 - 1e-6, prob)) ELSE 1.0 - greatest(1e-6, least(1.0 - 1e-6, prob)) END::DOUBLE AS r FROM grid q JOIN w USING (label))
+            SELECT label, round(avg(w * -ln(r)), 6) AS bce, round(avg(pow(1.0 - r, 2) * w * -ln(r)), 6) AS focal FROM q GROUP BY label""",
         "fold_split": f"""WITH s AS (SELECT rec_id, coalesce(is_synthetic, false) AS made, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(gold_labels, ''), ','), lambda x: {_S('x')}), lambda x: x NOT IN ('', 'Normal')))), ',') AS g FROM training_reports_augmented)
             SELECT rec_id, (row_number() OVER (PARTITION BY g ORDER BY md5(rec_id::VARCHAR || '42'), rec_id) - 1) % 5 AS fold FROM s WHERE NOT made UNION ALL SELECT rec_id, -1 FROM s WHERE made""",
     }

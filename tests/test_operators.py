@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -154,9 +155,9 @@ def test_overlaps_and_spans(spark):
     lex = Lexicon(spark.createDataFrame(rows, "label string, label_idx int, phrase_idx int, phrase string"))
     df = spark.createDataFrame([(1, "Big  heart, big heart failure; xheart xx x1"), (2, None), (3, "x")], "rec_id long, report_text string")
     got = {r.rec_id: {tuple(s) for s in r.spans} for r in spans.with_spans(df, lex).collect()}
-    assert got[1] == {(0, 10, "A"), (5, 10, "A"), (12, 21, "A"), (16, 21, "A"), (16, 29, "B")} and got[2] == set() and got[3] == {(0, 1, "B")}
+    assert got[1] == {(5, 10, "A"), (12, 21, "A"), (16, 21, "A"), (16, 29, "B")} and got[2] == set() and got[3] == {(0, 1, "B")}
     kept = {r.rec_id: [tuple(s) for s in r.k] for r in spans.with_spans(df, lex).select("rec_id", spans.without_overlaps(F.col("spans")).alias("k")).collect()}
-    assert kept[1] == [(0, 10, "A"), (16, 29, "B")]
+    assert kept[1] == [(5, 10, "A"), (16, 29, "B")]
     r = random.Random(4)
     many = [sorted({(a := r.randint(0, 60), a + r.randint(1, 9), r.choice("AB")) for _ in range(r.randint(0, 12))}) for _ in range(60)]
     t = spark.createDataFrame([(i, [{"start": a, "end": b, "label": c} for a, b, c in m]) for i, m in enumerate(many)], "i int, s array<struct<start:int,end:int,label:string>>")
@@ -291,3 +292,57 @@ def test_stream_counts_files_once(spark, tmp_path):
     assert sorted(r.x for r in run().collect()) == [2 * i for i in range(8)]
     left = incremental.resume(spark.range(10).toDF("id"), spark.range(8).toDF("id"), "id")
     assert sorted(r.id for r in left.collect()) == [8, 9]
+
+
+def test_spreadsheets_and_settings(spark, tmp_path):
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7</v></c></row><row r="3"><c r="C3"><v>8</v></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>study_id</t></si><si><r><t>s </t></r><r><t>one</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    got = reports.read_xlsx(spark, str(tmp_path / "book.xlsx"), "study_id string, n int, other string").collect()
+    assert [tuple(r) for r in got] == [("s one", 7, None), (None, 8, None)]
+    (tmp_path / "s.yaml").write_text('data:\n  input: /a/b  # note\nnlp:\n  model: "M"\nkinds: ["x", "y"]\n')
+    assert reports.load_settings(str(tmp_path / "s.yaml")) == {"data.input": "/a/b", "nlp.model": "M", "kinds": ["x", "y"]}
+
+
+def test_stratified_folds(spark):
+    rows = [(i, "A" if i % 3 else "B, A") for i in range(300)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "id long, gold_labels string")
+    got = {r.id: r.fold for r in metrics.stratified_folds(df, "id").collect()}
+    for want in ({i for i, g in rows if g == "A"}, {i for i, g in rows if g == "B, A"}):
+        sizes = [sum(got[i] == f for i in want) for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+    assert got == {r.id: r.fold for r in metrics.stratified_folds(df.repartition(9), "id").collect()} and len(got) == 301
+    assert metrics.stratified_folds(df.limit(0), "id").count() == 0
+
+
+def test_short_sample_is_an_error(spark):
+    with pytest.raises(ValueError, match="fewer than 322"):
+        sampling.fixed_sample(spark.range(5), "id", 322)
+
+
+def test_entity_rules(spark):
+    from radweave.operators import spans
+
+    df = spark.createDataFrame([(1, "Left mass, a mass lesion; Mass masses"), (2, None)], "id long, report_text string").withColumn("spans", F.lit(1))
+    out = {r.id: [tuple(e) for e in r.entities] for r in spans.ruled_spans(df, {"M": ["mass", "mass lesion"], "S": [";"]}).collect()}
+    assert out == {1: [(5, 9, "M"), (13, 24, "M"), (24, 25, "S")], 2: []}
+
+
+def test_preprocess_skips(spark):
+    df = spark.createDataFrame([(1, [0.0] * 4, True), (2, [0.0] * 4, False), (3, [0.0] * 4, True), (4, None, True)], "id long, p array<double>, chest boolean")
+    got = {r.id: (r.status, r.image is None) for r in imaging.preprocess(df, "id", "p", 2, 2, (2, 2), F.col("chest"), spark.createDataFrame([(3,)], "id long")).collect()}
+    assert got == {1: ("ok", False), 2: ("not chest", True), 3: ("exists", True), 4: ("skipped", True)}
+
+
+def test_intermediate_tables_go_with_their_block(spark, tmp_path):
+    from radweave import scratch
+
+    with scratch.cleared(spark):
+        kept = scratch.settle(spark.range(3), "some")
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert Path(path).exists() and kept.count() == 3
+    assert not Path(path).exists()
