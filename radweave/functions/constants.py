@@ -50,6 +50,7 @@ MODEL_PRIMARY = ("Other Significant Abnormality", "Suspected Malignancy")
 RARE = ("Lung Mass / Nodule", "Post-Surgical Changes", "Pulmonary Edema")
 HIGH_RISK = ("Tuberculosis", "Lung Mass / Nodule", "Suspected Malignancy")
 
+# Patterns of the ratio, the heading line and the section headers.
 RATIO = r"(?:ctr|cardiothoracic ratio)[" + BLANKS + r"]*[-:=][" + BLANKS + r"]*0?\.?([0-9]{2,3})"
 HEADER = r"(?i)^[" + BLANKS + r"]*CHEST[" + BLANKS + r"]+RADIOGRAPH?Y?[" + BLANKS + r"]+(?:REPORT|====.*?====)[^\n]*\n?"
 LAST_PART = r"(?i)(?:^|\n)[" + BLANKS + r"]*(impression|conclusion|summary)[" + BLANKS + r"]*:?[" + BLANKS + r"]*\n?"

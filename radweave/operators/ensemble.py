@@ -73,6 +73,7 @@ def decisions(
         .when(rb, F.when(rare & (p < weak), "low").otherwise("medium"))
         .otherwise("low")
     )
+    # The decision and reason texts below.
     tail = F.when(rare, ", rare").otherwise("")
     decision = (
         F.when(~differ, None)

@@ -38,7 +38,7 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder named by the session, or a fresh local one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return named.rstrip("/") if ":" in named else _qualified(spark, named.rstrip("/"))
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
@@ -48,6 +48,13 @@ def shared_root(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """A path without scheme as a URI of the default file system, for readers that do not know that default."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """An unused path; Hadoop removes it when the driver's JVM ends."""
     path = f"{shared_root(spark)}/radweave/{label}-{uuid.uuid4().hex}"
