@@ -441,7 +441,7 @@ def train(seed: int = 3, copies: int = 48, passes: int = 6, rate: float = 0.2, d
                 step = step / n + decay * value * (np.abs(value) < 1e3)
                 sped += step * step
                 value -= rate * step / np.sqrt(sped) * (np.abs(value) < 1e3)
-            if 2 * at >= passes:
+            if 2 * (at + 1) > passes:
                 n_mean += 1
                 for total, value in zip(mean, (weight, move, begin, end)):
                     total += value
