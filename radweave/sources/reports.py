@@ -12,7 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radweave.functions.text import strip
@@ -21,16 +21,28 @@ from radweave.functions.text import strip
 def scan_reports(spark: SparkSession, folder: str, keep_empty: bool = False) -> DataFrame:
     """(study_id, report_text) of a folder of ``*.txt``: id is the file's stem, text stripped, empty ones dropped.
 
-    Bytes that are no UTF-8 become replacement characters. A folder without such files is an error.
+    Bytes that are no UTF-8 become replacement characters. A folder without such files is an error. Spark lists files of zero
+    bytes but gives no row for them: with ``keep_empty`` every listed path without a row becomes an empty text.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
-    if files.select("path").isEmpty():
+    listed = spark.sparkContext._jvm.org.apache.hadoop.util.StringUtils.join("\n", files._jdf.inputFiles())  # encoded URIs hold no line end
+    if not listed:
         raise FileNotFoundError(f"no .txt files in {folder}")
-    name = F.regexp_extract("path", r"([^/]+)\.txt$", 1)
-    df = files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("study_id"), strip(F.make_valid_utf8(F.col("content").cast("string"))).alias("report_text"))
+    df = files.select("path", strip(F.make_valid_utf8(F.col("content").cast("string"))).alias("report_text"))
+    if keep_empty:
+        uri = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+        known = spark.createDataFrame(pa.table({"uri": listed.split("\n")})).select(_one_slash(uri).alias("path"))
+        unread = known.join(files.select(_one_slash(F.col("path")).alias("path")), "path", "left_anti")
+        df = df.unionByName(unread.select("path", F.lit("").alias("report_text")))
+    df = df.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("study_id"), "report_text")
     return df if keep_empty else df.filter("report_text <> ''")
 
 
+def _one_slash(path: Column) -> Column:
+    """A path with one slash after its scheme: Spark's listing and its rows differ in their number."""
+    return F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, one_line_rows: bool = False) -> DataFrame:
     """Delimited file with a declared schema; quoted fields may hold line ends and doubled quotes.
 

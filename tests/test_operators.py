@@ -346,3 +346,19 @@ def test_intermediate_tables_go_with_their_block(spark, tmp_path):
         path = kept.inputFiles()[0].removeprefix("file://")
         assert Path(path).exists() and kept.count() == 3
     assert not Path(path).exists()
+
+
+def test_scan_of_files_of_zero_bytes(spark, tmp_path):
+    for folder in ("r1", "r2"):
+        (tmp_path / folder).mkdir()
+    names = ("a", "b c+", "50% d", "e%20f", "g, ñ", "[h]")
+    for n in names:
+        (tmp_path / "r1" / f"{n}.txt").write_text(" text ")
+        (tmp_path / "r1" / f"{n}0.txt").touch()
+    (tmp_path / "r1" / "skip.md").touch()
+    scan = lambda folder, keep: sorted(tuple(r) for r in reports.scan_reports(spark, str(tmp_path / folder), keep).collect())
+    assert scan("r1", False) == sorted((n, "text") for n in names)
+    assert scan("r1", True) == sorted([(n, "text") for n in names] + [(f"{n}0", "") for n in names])
+    (tmp_path / "r2" / "a.txt").touch()
+    assert scan("r2", False) == [] and scan("r2", True) == [("a", "")]
+    assert scan("r?", True) == sorted([*scan("r1", True), ("a", "")])

@@ -30,3 +30,14 @@ def test_entry_has_all(spark, data):
 
     assert set(core.queries()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["rec_id", "labels"]
+
+
+def test_scanned_all_keeps_null_empty_and_blank_texts(spark, tmp_path):
+    rows = [(1, "one"), (2, None), (3, ""), (4, " \n"), (5, "")]
+    spark.createDataFrame(rows, "rec_id long, report_text string").coalesce(1).write.parquet(str(tmp_path / "out"))
+    next((tmp_path / "out").glob("*.parquet")).rename(tmp_path / "annotated_reports.parquet")
+    for name, n in (("scanned_all", 5), ("scanned_reports", 1)):
+        df = core.queries()[name](spark, str(tmp_path))
+        got = [tuple(r) for r in df.collect()]
+        c = database(tmp_path).execute(core.oracle_sql()[name])
+        assert len(got) == n and ordered(df.columns, got) == ordered([d[0] for d in c.description], c.fetchall())
